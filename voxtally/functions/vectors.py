@@ -28,11 +28,10 @@ def vector_map(function: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column
 
     @F.pandas_udf("array<double>")
     def mapped(vectors: pd.Series) -> pd.Series:
-        result = pd.Series([None] * len(vectors), index=vectors.index, dtype="object")
-        given = vectors.notna()
-        if given.any():
-            result[given] = list(function(matrix(vectors[given])))
-        return result
+        given = vectors[vectors.notna()]
+        if given.empty:
+            return pd.Series([None] * len(vectors), dtype="object")
+        return pd.Series(list(function(matrix(given))), index=given.index).reindex(vectors.index)
 
     return mapped
 

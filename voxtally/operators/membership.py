@@ -190,12 +190,11 @@ def reassign_outliers(
 def _likeliest(ids: np.ndarray, means: np.ndarray):
     @F.pandas_udf("int")
     def likeliest(vectors: pd.Series) -> pd.Series:
-        result = pd.Series([None] * len(vectors), dtype="Int32")
-        given = vectors.notna().to_numpy()
-        if given.any():
-            sims = _similarities(matrix(vectors[given]), means)
-            best = pd.Series(ids[sims.argmax(axis=1)], dtype="Int32")
-            result[given] = best.where(sims.max(axis=1) > 0).array
-        return result
+        given = vectors[vectors.notna()]
+        if given.empty:
+            return pd.Series([None] * len(vectors), dtype="Int32")
+        sims = _similarities(matrix(given), means)
+        best = pd.Series(ids[sims.argmax(axis=1)], index=given.index, dtype="Int32")
+        return best.where(sims.max(axis=1) > 0).reindex(vectors.index)
 
     return likeliest
