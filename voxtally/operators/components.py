@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.operators.skew import skew_join
+from voxtally.operators.skew import lookup_join
 from voxtally.session import materialize
 
 
@@ -15,33 +15,36 @@ def connected_components(
     """``(node, component)``: the lowest node each node is connected to.
 
     ``nodes`` has the column ``node``, ``edges`` the columns ``a`` and ``b`` in either direction.
-    Each round takes the lowest label among the neighbours and then that label's own label, so the
-    number of rounds grows with the logarithm of a component's length. Every round is a written
-    table. Many nodes share a label, so the second step splits hot labels.
+    In each round every group of equally labelled nodes takes the lowest label next to any of its
+    nodes, and then that label's own new label, so groups at least pair up and the rounds grow with
+    the logarithm of the node count. What a round yields is a written table. Many nodes share a
+    label, so joins on labels split the hot ones.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.select("a", "b").unionByName(
+        edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    )
     both = materialize(both.where("a <> b").distinct(), "edges")
-    labels = materialize(nodes.select("node", F.col("node").alias("label")), "labels")
+    labels = nodes.select("node", F.col("node").alias("label"))
     while True:
-        lowest = (
+        nearby = (
             both.join(labels.select(F.col("node").alias("b"), "label"), "b")
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("label").alias("_near"))
         )
-        hooked = materialize(
-            labels.join(lowest, "node", "left").select(
-                "node",
-                F.least("label", F.coalesce("_near", "label")).alias("_to"),
-                F.col("label").alias("_old"),
-            ),
-            "hooked",
+        labelled = materialize(labels.join(nearby, "node", "left"), "labelled")
+        moves = materialize(
+            labelled.groupBy("label")
+            .agg(F.min("_near").alias("_to"))
+            .where(F.col("_to") < F.col("label")),
+            "moves",
         )
-        targets = hooked.select(F.col("node").alias("_to"), F.col("_to").alias("label"))
-        labels = materialize(
-            skew_join(hooked, targets, ["_to"], by=["node"], min_rows=min_hot_rows).select(
-                "node", "label", (F.col("label") != F.col("_old")).alias("_moved")
-            ),
-            "labels",
+        if moves.isEmpty():
+            return labelled.select("node", F.col("label").alias("component"))
+        onward = moves.select(F.col("label").alias("_to"), F.col("_to").alias("_next"))
+        moves = lookup_join(moves, onward, ["_to"], ["label"], "left", 64, min_hot_rows).select(
+            "label", F.coalesce("_next", "_to").alias("_to")
         )
-        if labels.where("_moved").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
+        moves = materialize(moves, "moves")
+        labels = lookup_join(
+            labelled.drop("_near"), moves, ["label"], ["node"], "left", 64, min_hot_rows
+        ).select("node", F.coalesce("_to", "label").alias("label"))

@@ -67,7 +67,8 @@ def membership(
     vector: str = "embedding",
     limit: int = TARGET_BYTES,
 ) -> DataFrame:
-    """``(key, topic, prob)``: cosine to each topic's mean, negatives as zero, summing to one.
+    """``(key, topic, prob)``: cosine to each topic's mean, negatives as zero, summing to one
+    (to zero for a review that points toward no topic).
 
     ``centroids`` should be a written table. While it fits ``limit`` bytes this is one narrow pass;
     beyond that, one pass per piece and a sum over the pieces.

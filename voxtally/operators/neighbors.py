@@ -106,13 +106,15 @@ def _nearest(
             squares += (part[:, dim, None] - points[None, :, dim]) ** 2
         take = min(k, len(points))
         bound = np.partition(squares, take - 1, axis=1)[:, take - 1]
-        bound = np.minimum(bound, limits[start : start + step] ** 2 * (1 + 1e-12))
+        # A little slack: squares that differ may have equal roots, and then the id decides.
+        bound = np.minimum(bound, limits[start : start + step] ** 2) * (1 + 1e-12)
         row, col = np.nonzero(squares <= bound[:, None])
-        order = np.lexsort((ids[col], squares[row, col], row))
-        row, col = row[order], col[order]
+        distance = np.sqrt(squares[row, col])
+        order = np.lexsort((ids[col], distance, row))
+        row, col, distance = row[order], col[order], distance[order]
         rank = np.arange(len(row)) - np.searchsorted(row, np.arange(len(part)))[row]
-        row, col = row[rank < take], col[rank < take]
-        found.append((row + start, ids[col], np.sqrt(squares[row, col])))
+        kept = rank < take
+        found.append((row[kept] + start, ids[col[kept]], distance[kept]))
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 

@@ -77,8 +77,9 @@ def lookup_join(
     by: Sequence[str],
     how: str = "inner",
     row_bytes: int = 256,
+    min_rows: int = 100_000,
 ) -> DataFrame:
     """Join to a lookup table: broadcast while its checked size allows, else :func:`skew_join`."""
     if fits_broadcast(right, row_bytes):
         return left.join(F.broadcast(right), list(keys), how)
-    return skew_join(left, right, keys, by, how)
+    return skew_join(left, right, keys, by, how, min_rows)

@@ -421,8 +421,8 @@ def oracle_queries() -> dict[str, str]:
             "near",
         ),
         "topic_membership": _with(
-            """SELECT review_id, topic, round(sim / sum(sim) OVER (PARTITION BY review_id), 4) AS prob
-            FROM sims""",
+            """SELECT review_id, topic, coalesce(round(sim / nullif(total, 0), 4), 0) AS prob
+            FROM (SELECT *, sum(sim) OVER (PARTITION BY review_id) AS total FROM sims)""",
             "sims",
         ),
         "reassign_outliers": _with("SELECT * FROM moved", "moved"),

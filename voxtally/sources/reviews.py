@@ -50,9 +50,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The counterpart of :func:`write_csv`."""
+    """The counterpart of :func:`write_csv`; tells an empty text from a missing one."""
     return spark.read.options(
         header=True,
+        nullValue="\0",  # what the parser puts for an unquoted empty field
         escape='"',
         multiLine=True,
         ignoreLeadingWhiteSpace=False,
