@@ -71,13 +71,14 @@ def _forms(source: str) -> str:
 def _weights(
     tf: str,
     docs: str = "reviews_topic",
-    root: bool = True,
+    root: str = "true",
     seeded: bool = False,
     binary: bool = False,
+    min_df: int = reg.MIN_DF,
 ) -> str:
     n = "CAST(1 AS BIGINT)" if binary else "n"
     share = "n / total"
-    share = f"sqrt({share})" if root else share
+    share = f"CASE WHEN {root} THEN sqrt({share}) ELSE {share} END"
     boost = (
         f" * CASE WHEN term IN ({_list(LEXICON.seed_words())}) THEN 1.2 ELSE 1.0 END" if seeded else ""
     )
@@ -89,7 +90,7 @@ def _weights(
                sum({n}) OVER (PARTITION BY term) AS f,
                (SELECT count(DISTINCT topic) FROM {docs}) AS topics
         FROM {tf})
-      WHERE df >= {reg.MIN_DF} AND df <= 0.9 * topics)"""
+      WHERE df >= {min_df} AND df <= 0.9 * topics)"""
 
 
 def _top(weights: str) -> str:
@@ -125,7 +126,123 @@ def _near(source: str) -> str:
       FROM {source} a JOIN {source} b ON a.review_id <> b.review_id)"""
 
 
+def _guided(docs: str, seed_vec: str) -> str:
+    return f"""
+    SELECT review_id, seed_id,
+           list(CASE WHEN seed_id = -1 THEN v ELSE (3 * v + w) / 4 END ORDER BY i) AS g
+    FROM (
+      SELECT review_id, seed_id, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(vec) AS w,
+             generate_subscripts(embedding, 1) AS i
+      FROM (
+        SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY sim DESC, seed_id) AS k FROM (
+          SELECT review_id, embedding, t.seed_id, t.vec,
+                 list_cosine_similarity(CAST(embedding AS DOUBLE[]), t.vec) AS sim
+          FROM {docs}, (
+            SELECT seed_id, vec FROM {seed_vec} UNION ALL
+            SELECT -1, vec FROM ({_means(f"(SELECT 0 AS one, embedding FROM {docs})", "one")})) t))
+      WHERE k = 1)
+    GROUP BY review_id, seed_id"""
+
+
+def _projected(source: str, key: str, vector: str) -> str:
+    return f"""
+    SELECT review_id, c, round(sum(v / norm * s) / sqrt(5), 6) + 0.0 AS v FROM (
+      SELECT {key} AS review_id, CAST(unnest({vector}) AS DOUBLE) AS v,
+             sqrt(list_dot_product(CAST({vector} AS DOUBLE[]), CAST({vector} AS DOUBLE[]))) AS norm,
+             generate_subscripts({vector}, 1) - 1 AS d FROM {source})
+    JOIN signs USING (d) GROUP BY review_id, c"""
+
+
+def _sims(docs: str, centroids: str) -> str:
+    return f"""
+    SELECT review_id, r.topic AS own, c.topic,
+           greatest(list_cosine_similarity(CAST(embedding AS DOUBLE[]), vec), 0) AS sim
+    FROM {docs} r, {centroids} c"""
+
+
+def _moved(docs: str, sims: str, trigger: float) -> str:
+    return f"""
+    SELECT r.review_id, r.brand, r.topic AS old_topic, coalesce(b.topic, r.topic) AS topic
+    FROM {docs} r LEFT JOIN (
+      SELECT review_id, topic FROM (
+        SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY sim DESC, topic) AS k
+        FROM {sims} WHERE own = -1 AND sim > 0)
+      WHERE k = 1 AND (SELECT avg(CASE WHEN topic = -1 THEN 1.0 ELSE 0.0 END) FROM {docs}) > {trigger}
+    ) b ON r.review_id = b.review_id"""
+
+
+def _names(docs: str, top: str) -> str:
+    return f"""
+    SELECT topic, coalesce(string_agg(term, '_' ORDER BY rank), '{TOPIC_PREFIX}' || topic) AS topic_name
+    FROM (SELECT DISTINCT topic FROM {docs} WHERE topic <> -1)
+    LEFT JOIN (SELECT * FROM {top} WHERE rank <= 3) USING (topic) GROUP BY topic"""
+
+
+def _counts(labelled: str) -> str:
+    return f"""
+    SELECT brand, topic_name, count(*) AS count FROM {labelled}
+    WHERE topic <> -1 AND brand IS NOT NULL GROUP BY brand, topic_name"""
+
+
+def _shares(counts: str) -> str:
+    return f"""
+    SELECT *, round_even(count / sum(count) OVER (PARTITION BY brand) * 100 * 10, 0) / 10 AS ratio
+    FROM {counts}"""
+
+
+def _top_five(shares: str) -> str:
+    return f"""
+    SELECT * FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY brand ORDER BY ratio DESC, topic_name) AS INTEGER) AS rank
+      FROM {shares}) WHERE rank <= 5"""
+
+
 _C = reg.CLUSTER
+
+
+def _density(p: str, projected: str) -> dict[str, str]:
+    """The parts of a density clustering, named with the prefix ``p``."""
+    return {
+        f"{p}reduced": "SELECT review_id, "
+        + ", ".join(f"max(v) FILTER (c = {c}) AS c{c}" for c in range(5))
+        + f" FROM {projected} GROUP BY review_id",
+        f"{p}near": _near(f"{p}reduced"),
+        f"{p}cores": f"""
+    SELECT review_id, round(distance, 4) AS core FROM {p}near WHERE rank = {_C["min_samples"]}""",
+        f"{p}eps": f"""
+    SELECT min(core) AS eps FROM (
+      SELECT core, count(*) OVER (ORDER BY core RANGE UNBOUNDED PRECEDING) AS upto FROM {p}cores)
+    WHERE upto >= {_C["eps_quantile"]} * (SELECT count(*) FROM {p}cores)""",
+        f"{p}links": f"""
+    SELECT n.review_id AS a, n.neighbor_id AS b FROM {p}near n
+    JOIN {p}cores x ON x.review_id = n.review_id JOIN {p}cores y ON y.review_id = n.neighbor_id, {p}eps
+    WHERE n.rank <= {_C["n_neighbors"]} AND x.core <= eps AND y.core <= eps
+      AND round(n.distance, 4) <= eps""",
+        f"{p}reach": f"""
+    SELECT review_id AS a, review_id AS b FROM {p}cores, {p}eps WHERE core <= eps
+    UNION
+    SELECT {p}reach.a, e.b FROM {p}reach
+    JOIN (SELECT a, b FROM {p}links UNION SELECT b, a FROM {p}links) e ON {p}reach.b = e.a""",
+        f"{p}parts": f"SELECT a AS review_id, min(b) AS part FROM {p}reach GROUP BY a",
+        f"{p}sizes": f"""
+    SELECT part, row_number() OVER (ORDER BY n DESC, part) - 1 AS topic
+    FROM (SELECT part, count(*) AS n FROM {p}parts GROUP BY part) WHERE n >= {_C["min_cluster_size"]}""",
+    }
+
+
+def _density_needs(p: str, projected: str) -> dict[str, tuple[str, ...]]:
+    return {
+        f"{p}reduced": (projected,),
+        f"{p}near": (f"{p}reduced",),
+        f"{p}cores": (f"{p}near",),
+        f"{p}eps": (f"{p}cores",),
+        f"{p}links": (f"{p}near", f"{p}cores", f"{p}eps"),
+        f"{p}reach": (f"{p}cores", f"{p}eps", f"{p}links"),
+        f"{p}parts": (f"{p}reach",),
+        f"{p}sizes": (f"{p}parts",),
+    }
+
+
 _LOW = "rating > 0 AND rating <= 2"
 
 PARTS = {
@@ -157,71 +274,59 @@ PARTS = {
     "weights": _weights("tf"),
     "top": _top("weights"),
     "centroids": _means("(SELECT * FROM reviews_topic WHERE topic <> -1)", "topic"),
-    "sims": """
-    SELECT review_id, r.topic AS own, c.topic,
-           greatest(list_cosine_similarity(CAST(embedding AS DOUBLE[]), vec), 0) AS sim
-    FROM reviews_topic r, centroids c""",
-    "moved": f"""
-    SELECT r.review_id, r.brand, r.topic AS old_topic, coalesce(b.topic, r.topic) AS topic
-    FROM reviews_topic r LEFT JOIN (
-      SELECT review_id, topic FROM (
-        SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY sim DESC, topic) AS k
-        FROM sims WHERE own = -1 AND sim > 0)
-      WHERE k = 1 AND (SELECT avg(CASE WHEN topic = -1 THEN 1.0 ELSE 0.0 END) FROM reviews_topic) > {reg.TRIGGER}
-    ) b ON r.review_id = b.review_id""",
+    "sims": _sims("reviews_topic", "centroids"),
+    "moved": _moved("reviews_topic", "sims", reg.TRIGGER),
     "moved_tf": _tf("moved"),
-    "moved_weights": _weights("moved_tf", "moved", root=False, seeded=True),
-    "names": f"""
-    SELECT topic, coalesce(string_agg(term, '_' ORDER BY rank), '{TOPIC_PREFIX}' || topic) AS topic_name
-    FROM (SELECT DISTINCT topic FROM reviews_topic WHERE topic <> -1)
-    LEFT JOIN (SELECT * FROM top WHERE rank <= 3) USING (topic) GROUP BY topic""",
+    "moved_weights": _weights("moved_tf", "moved", root="false", seeded=True),
+    "names": _names("reviews_topic", "top"),
     "labelled": f"""
     SELECT review_id, brand, rating, topic,
            CASE WHEN topic = -1 THEN '{NOISE_LABEL}' ELSE topic_name END AS topic_name
     FROM reviews_topic LEFT JOIN names USING (topic)""",
-    "counts": """
-    SELECT brand, topic_name, count(*) AS count FROM labelled
-    WHERE topic <> -1 AND brand IS NOT NULL GROUP BY brand, topic_name""",
-    "shares": """
-    SELECT *, round_even(count / sum(count) OVER (PARTITION BY brand) * 100 * 10, 0) / 10 AS ratio
-    FROM counts""",
+    "counts": _counts("labelled"),
+    "shares": _shares("counts"),
     "signs": """
     SELECT c, d, CASE WHEN substr(md5('42:' || c || ':' || d), 1, 1) < '8' THEN 1.0 ELSE -1.0 END AS s
     FROM range(5) x(c), range(64) y(d)""",
-    "projected": """
-    SELECT review_id, c, round(sum(v / norm * s) / sqrt(5), 6) + 0.0 AS v FROM (
-      SELECT vec_id AS review_id, CAST(unnest(embedding) AS DOUBLE) AS v,
-             sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm,
-             generate_subscripts(embedding, 1) - 1 AS d FROM embeddings)
-    JOIN signs USING (d) GROUP BY review_id, c""",
-    "reduced": "SELECT review_id, "
-    + ", ".join(f"max(v) FILTER (c = {c}) AS c{c}" for c in range(5))
-    + " FROM projected GROUP BY review_id",
-    "near": _near("reduced"),
-    "cores": f"""
-    SELECT review_id, round(distance, 4) AS core FROM near WHERE rank = {_C["min_samples"]}""",
-    "eps": f"""
-    SELECT min(core) AS eps FROM (
-      SELECT core, count(*) OVER (ORDER BY core RANGE UNBOUNDED PRECEDING) AS upto FROM cores)
-    WHERE upto >= {_C["eps_quantile"]} * (SELECT count(*) FROM cores)""",
-    "links": f"""
-    SELECT n.review_id AS a, n.neighbor_id AS b FROM near n
-    JOIN cores x ON x.review_id = n.review_id JOIN cores y ON y.review_id = n.neighbor_id, eps
-    WHERE n.rank <= {_C["n_neighbors"]} AND x.core <= eps AND y.core <= eps
-      AND round(n.distance, 4) <= eps""",
-    "reach": """
-    SELECT review_id AS a, review_id AS b FROM cores, eps WHERE core <= eps
-    UNION
-    SELECT reach.a, e.b FROM reach
-    JOIN (SELECT a, b FROM links UNION SELECT b, a FROM links) e ON reach.b = e.a""",
-    "parts": "SELECT a AS review_id, min(b) AS part FROM reach GROUP BY a",
-    "sizes": f"""
-    SELECT part, row_number() OVER (ORDER BY n DESC, part) - 1 AS topic
-    FROM (SELECT part, count(*) AS n FROM parts GROUP BY part) WHERE n >= {_C["min_cluster_size"]}""",
+    "projected": _projected("embeddings", "vec_id", "embedding"),
+    **_density("", "projected"),
     "seed_docs": """
     SELECT DISTINCT seed_id, review_id, embedding FROM seeds JOIN tok USING (word)
     JOIN reviews_topic USING (review_id)""",
     "seed_vec": _means("seed_docs", "seed_id"),
+    # The whole fit, on the rated reviews that have a vector.
+    "f_docs": """
+    SELECT review_id, brand, embedding FROM reviews JOIN embeddings ON review_id = vec_id
+    WHERE rating > 0""",
+    "f_seed_docs": """
+    SELECT DISTINCT seed_id, review_id, embedding FROM seeds JOIN tok USING (word)
+    JOIN f_docs USING (review_id)""",
+    "f_seed_vec": _means("f_seed_docs", "seed_id"),
+    "f_guided": _guided("f_docs", "f_seed_vec"),
+    "f_projected": _projected("f_guided", "review_id", "g"),
+    **_density("f_", "f_projected"),
+    "f_first": """
+    SELECT d.*, CAST(coalesce(topic, -1) AS INTEGER) AS topic
+    FROM f_docs d LEFT JOIN f_parts USING (review_id) LEFT JOIN f_sizes USING (part)""",
+    "f_centroids": _means("(SELECT * FROM f_first WHERE topic <> -1)", "topic"),
+    "f_sims": _sims("f_first", "f_centroids"),
+    "f_moved": _moved("f_first", "f_sims", 0.4),
+    "f_tf": _tf("f_moved"),
+    "f_weights": _weights(
+        "f_tf",
+        "f_moved",
+        root="NOT EXISTS (SELECT 1 FROM f_moved WHERE topic <> old_topic)",
+        seeded=True,
+        min_df=1,
+    ),
+    "f_top": _top("f_weights"),
+    "f_names": _names("f_moved", "f_top"),
+    "f_labelled": f"""
+    SELECT review_id, brand, topic,
+           CASE WHEN topic = -1 THEN '{NOISE_LABEL}' ELSE topic_name END AS topic_name
+    FROM f_moved LEFT JOIN f_names USING (topic)""",
+    "f_counts": _counts("f_labelled"),
+    "f_shares": _shares("f_counts"),
 }
 
 NEEDS = {
@@ -244,19 +349,33 @@ NEEDS = {
     "counts": ("labelled",),
     "shares": ("counts",),
     "projected": ("signs",),
-    "reduced": ("projected",),
-    "near": ("reduced",),
-    "cores": ("near",),
-    "eps": ("cores",),
-    "links": ("near", "cores", "eps"),
-    "reach": ("cores", "eps", "links"),
-    "parts": ("reach",),
-    "sizes": ("parts",),
+    **_density_needs("", "projected"),
     "seed_docs": ("seeds", "tok", "reviews_topic"),
     "seed_vec": ("seed_docs",),
+    "f_docs": ("reviews",),
+    "f_seed_docs": ("seeds", "tok", "f_docs"),
+    "f_seed_vec": ("f_seed_docs",),
+    "f_guided": ("f_docs", "f_seed_vec"),
+    "f_projected": ("f_guided", "signs"),
+    **_density_needs("f_", "f_projected"),
+    "f_first": ("f_docs", "f_parts", "f_sizes"),
+    "f_centroids": ("f_first",),
+    "f_sims": ("f_first", "f_centroids"),
+    "f_moved": ("f_first", "f_sims"),
+    "f_tf": ("f_moved", "terms"),
+    "f_weights": ("f_tf", "f_moved"),
+    "f_top": ("f_weights",),
+    "f_names": ("f_moved", "f_top"),
+    "f_labelled": ("f_moved", "f_names"),
+    "f_counts": ("f_labelled",),
+    "f_shares": ("f_counts",),
 }
 # Parts that several others read are worked out once.
-SHARED = {"tok", "terms", "tf", "weights", "near", "cores", "links", "reduced", "projected", "forms"}
+SHARED = {
+    *("tok", "terms", "forms", "tf", "weights", "projected", "reduced", "near", "cores", "links"),
+    *("f_guided", "f_projected", "f_reduced", "f_near", "f_cores", "f_links", "f_parts", "f_first"),
+    *("f_moved", "f_tf", "f_weights"),
+}
 
 
 def _with(body: str, *needs: str) -> str:
@@ -285,12 +404,7 @@ def oracle_queries() -> dict[str, str]:
     rounded = "SELECT topic, term, n, round(weight, 6) AS weight FROM "
     ranked = "SELECT topic, rank, term, round(weight, 6) AS weight FROM "
     return {
-        "top_topics_per_brand": _with(
-            """SELECT * FROM (
-              SELECT *, CAST(row_number() OVER (PARTITION BY brand ORDER BY ratio DESC, topic_name) AS INTEGER) AS rank
-              FROM shares) WHERE rank <= 5""",
-            "shares",
-        ),
+        "top_topics_per_brand": _with(_top_five("shares"), "shares"),
         "brand_topic_counts": _with("SELECT * FROM counts", "counts"),
         "brand_topic_share": _with("SELECT * FROM shares", "shares"),
         "brand_topic_share_by_scope": _with(
@@ -437,20 +551,8 @@ def oracle_queries() -> dict[str, str]:
         "seed_guided_vectors": _with(
             f"""SELECT review_id, seed_id, {", ".join(f"round(g[{i + 1}], 4) AS g{i}" for i in range(4))},
               round(sqrt(list_dot_product(g, g)), 4) AS length
-            FROM (
-              SELECT review_id, seed_id, list(CASE WHEN seed_id = -1 THEN v ELSE (3 * v + w) / 4 END ORDER BY i) AS g
-              FROM (
-                SELECT review_id, seed_id, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(vec) AS w,
-                       generate_subscripts(embedding, 1) AS i
-                FROM (
-                  SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY sim DESC, seed_id) AS k FROM (
-                    SELECT review_id, embedding, t.seed_id, t.vec,
-                           list_cosine_similarity(CAST(embedding AS DOUBLE[]), t.vec) AS sim
-                    FROM reviews_topic, (
-                      SELECT seed_id, vec FROM seed_vec UNION ALL
-                      SELECT -1, vec FROM ({_means("(SELECT 0 AS one, embedding FROM reviews_topic)", "one")})) t))
-                WHERE k = 1)
-              GROUP BY review_id, seed_id)""",
+            FROM ({_guided("reviews_topic", "seed_vec")})""",
+            "reviews_topic",
             "seed_vec",
         ),
         "reduce_random_projection": _with("SELECT * FROM reduced", "reduced"),
@@ -459,6 +561,11 @@ def oracle_queries() -> dict[str, str]:
             FROM embeddings LEFT JOIN parts ON vec_id = review_id LEFT JOIN sizes USING (part)""",
             "sizes",
         ),
+        "fit_topics": _with(
+            "SELECT topic, count(*) AS n, any_value(topic_name) AS topic_name FROM f_labelled GROUP BY topic",
+            "f_labelled",
+        ),
+        "fitted_brand_topics": _with(_top_five("f_shares"), "f_shares"),
         "embedding_cache_misses": _with(
             """SELECT DISTINCT sha256(content_clean) AS text_hash, CAST(length(content_clean) AS INTEGER) AS n_chars
             FROM reviews WHERE sha256(content_clean) NOT IN (

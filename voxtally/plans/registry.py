@@ -17,7 +17,7 @@ from voxtally.operators import membership as soft
 from voxtally.operators import neighbors
 from voxtally.operators import reduce as reducing
 from voxtally.operators import seeds as seeding
-from voxtally.plans.topics import TopicParams
+from voxtally.plans.topics import TopicModel, TopicParams, compare_brands
 from voxtally.plans.topics import fit_topics as fit
 from voxtally.plans.views import LEXICON, reviews, reviews_topic, vectors
 from voxtally.session import materialize, new_folder
@@ -30,7 +30,7 @@ MIN_DF = 2
 TRIGGER = 0.05  # the tables have about a tenth of outliers
 NEAR = 5
 CORE_SAMPLES = 5
-CLUSTER = {"min_cluster_size": 8, "min_samples": 3, "n_neighbors": 5, "eps_quantile": 0.5}
+CLUSTER = {"min_cluster_size": 8, "min_samples": 2, "n_neighbors": 2, "eps_quantile": 0.8}
 
 
 # --- reviews and scopes -------------------------------------------------------------------------
@@ -90,11 +90,11 @@ def dictionary_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 def dictionary_matches_table(spark: SparkSession, folder: str) -> DataFrame:
     words = spark.createDataFrame([(w,) for w in LEXICON.user_dict], "word string")
-    return dictionary_matches_join(reviews(spark, folder), words)
+    return dictionary_matches_join(reviews(spark, folder, heavy=True), words)
 
 
 def normalize_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    forms = reviews(spark, folder).withColumn("forms", letter_runs(F.col("content_clean")))
+    forms = reviews(spark, folder, heavy=True).withColumn("forms", letter_runs(F.col("content_clean")))
     return forms.select(
         "review_id",
         F.array_join(normalize(F.col("forms"), LEXICON.synonyms), " ").alias("tokens"),
@@ -109,29 +109,29 @@ def _token_rows(df: DataFrame) -> DataFrame:
 
 
 def tokenize_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return _token_rows(_tokens(reviews(spark, folder)))
+    return _token_rows(_tokens(reviews(spark, folder, heavy=True)))
 
 
 def tokenize_low_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return _token_rows(_tokens(ingest.low_rated(reviews(spark, folder)), low=True))
+    return _token_rows(_tokens(ingest.low_rated(reviews(spark, folder, heavy=True)), low=True))
 
 
 def review_ngrams(spark: SparkSession, folder: str) -> DataFrame:
-    grams = _tokens(reviews(spark, folder)).select("review_id", ngrams("tokens").alias("grams"))
+    grams = _tokens(reviews(spark, folder, heavy=True)).select("review_id", ngrams("tokens").alias("grams"))
     return grams.select(
         "review_id", F.array_join("grams", "|").alias("terms"), F.size("grams").alias("n_terms")
     )
 
 
 def seed_topic_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return seeding.seed_summary(_tokens(reviews(spark, folder)), LEXICON)
+    return seeding.seed_summary(_tokens(reviews(spark, folder, heavy=True)), LEXICON)
 
 
 # --- keywords -----------------------------------------------------------------------------------
 
 
 def _topic_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return _tokens(reviews_topic(spark, folder))
+    return _tokens(reviews_topic(spark, folder, heavy=True))
 
 
 def _weights(spark: SparkSession, folder: str, **options) -> DataFrame:
@@ -302,22 +302,23 @@ def seed_guided_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hash_embed(spark: SparkSession, folder: str) -> DataFrame:
-    docs = embed_by_hash(_tokens(reviews(spark, folder)).select("review_id", "tokens"))
+    docs = embed_by_hash(_tokens(reviews(spark, folder, heavy=True)).select("review_id", "tokens"))
     nonzero = F.size(F.filter("embedding", lambda x: x != 0))
     return docs.select("review_id", F.size("embedding").alias("dims"), nonzero.alias("nonzero"))
 
 
+def _fitted(spark: SparkSession, folder: str) -> TopicModel:
+    docs = ingest.rated(reviews(spark, folder, heavy=True)).join(vectors(spark, folder), "review_id")
+    params = TopicParams(**CLUSTER, min_df=1, tf_mode="count", reducer=reducing.reduce_random)
+    return fit(docs, LEXICON, params)
+
+
 def fit_topics(spark: SparkSession, folder: str) -> DataFrame:
-    docs = ingest.rated(reviews(spark, folder)).join(vectors(spark, folder), "review_id")
-    params = TopicParams(
-        **CLUSTER,
-        min_df=1,
-        tf_mode="count",
-        outlier_threshold=0.4,
-        reducer=reducing.reduce_random,
-    )
-    model = fit(docs, LEXICON, params)
-    return model.topic_info
+    return _fitted(spark, folder).topic_info
+
+
+def fitted_brand_topics(spark: SparkSession, folder: str) -> DataFrame:
+    return compare_brands(_fitted(spark, folder))
 
 
 # --- sinks --------------------------------------------------------------------------------------
@@ -386,6 +387,7 @@ QUERIES = {
         density_topics,
         kmeans_topics,
         fit_topics,
+        fitted_brand_topics,
         embedding_cache_misses,
         export_csv,
     )

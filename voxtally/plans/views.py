@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtally.sources.lexicons import BOILERPLATE, Lexicon
+from voxtally.sources.reviews import fill_slots
 
 SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
@@ -26,9 +27,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def reviews(spark: SparkSession, folder: str) -> DataFrame:
+def reviews(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
     """``(review_id, brand, rating, content_clean)`` out of the documents."""
-    return table(spark, folder, "documents").select(
+    documents = table(spark, folder, "documents").select("doc_id", "source", "text")
+    if heavy:
+        documents = fill_slots(documents, "doc_id")
+    return documents.select(
         F.col("doc_id").alias("review_id"),
         F.col("source").alias("brand"),
         F.expr("cast((doc_id div 20) % 6 AS int)").alias("rating"),
@@ -41,11 +45,11 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(F.col("vec_id").alias("review_id"), "embedding")
 
 
-def reviews_topic(spark: SparkSession, folder: str) -> DataFrame:
+def reviews_topic(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
     """Reviews with a vector and the topic that the vector's label stands for; label 9 is noise."""
     labelled = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("review_id"),
         "embedding",
         F.when(F.col("label") == 9, F.lit(-1)).otherwise(F.col("label")).alias("topic"),
     )
-    return reviews(spark, folder).join(labelled, "review_id")
+    return reviews(spark, folder, heavy).join(labelled, "review_id")
