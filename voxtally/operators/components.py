@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.operators.skew import lookup_join
+from voxtally.operators.skew import fits_broadcast, skew_join
 from voxtally.session import materialize
 
 
@@ -40,11 +40,21 @@ def connected_components(
         )
         if moves.isEmpty():
             return labelled.select("node", F.col("label").alias("component"))
+        small = fits_broadcast(moves, row_bytes=64)
         onward = moves.select(F.col("label").alias("_to"), F.col("_to").alias("_next"))
-        moves = lookup_join(moves, onward, ["_to"], ["label"], "left", 64, min_hot_rows).select(
+        moves = _join(moves, onward, "_to", "label", small, min_hot_rows).select(
             "label", F.coalesce("_next", "_to").alias("_to")
         )
-        moves = materialize(moves, "moves")
-        labels = lookup_join(
-            labelled.drop("_near"), moves, ["label"], ["node"], "left", 64, min_hot_rows
-        ).select("node", F.coalesce("_to", "label").alias("label"))
+        labels = _join(labelled.drop("_near"), moves, "label", "node", small, min_hot_rows).select(
+            "node", F.coalesce("_to", "label").alias("label")
+        )
+        if not small:
+            labels = materialize(labels, "labels")
+
+
+def _join(
+    left: DataFrame, right: DataFrame, key: str, by: str, small: bool, min_rows: int
+) -> DataFrame:
+    if small:
+        return left.join(F.broadcast(right), key, "left")
+    return skew_join(left, right, [key], [by], "left", min_rows)

@@ -47,9 +47,9 @@ def sample_per_group(
     """Exactly ``min(n, cap)`` rows of each group, drawn in the order of a seeded hash of ``key``.
 
     A group may be far larger than one task can sort, so the cut is found in two steps. The first
-    counts rows per leading hash digits, which combines on the map side. Only rows up to the bucket
-    that crosses the cap are then ranked: at most ``cap`` plus one bucket per group. Rows without a
-    group are dropped.
+    counts rows per leading hash digits, which combines on the map side. Rows in the buckets below
+    the cap are taken as they are; only the bucket that crosses it is ranked. No window holds more
+    than one bucket. Rows without a group are dropped.
     """
     hashed = df.where(F.col(group).isNotNull()).withColumn(
         "_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
@@ -57,18 +57,26 @@ def sample_per_group(
     bucket = F.substring("_hash", 1, prefix)
     counts = hashed.groupBy(group, bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
     running = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(running), F.lit(0))
     cuts = materialize(
-        counts.withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0)))
+        counts.withColumn("_before", before)
         .where(F.col("_before") < cap)
         .groupBy(group)
-        .agg(F.max("_bucket").alias("_last")),
+        .agg(
+            F.max("_bucket").alias("_last"),
+            (F.lit(cap) - F.max("_before")).alias("_take"),
+        ),
         "sample-cuts",
     )
-    near = lookup_join(hashed, cuts, [group], by=[key]).where(bucket <= F.col("_last"))
-    order = Window.partitionBy(group).orderBy("_hash", key)
+    near = (
+        lookup_join(hashed, cuts, [group], by=[key])
+        .withColumn("_bucket", bucket)
+        .where(F.col("_bucket") <= F.col("_last"))
+    )
+    order = Window.partitionBy(group, "_bucket").orderBy("_hash", key)
     return (
         near.withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= cap)
+        .where((F.col("_bucket") < F.col("_last")) | (F.col("_rank") <= F.col("_take")))
         .select(*df.columns)
     )
 

@@ -218,9 +218,9 @@ def neighborhood(
         "own-block",
     )
     lists = local.select("vid", "near")
-    boxes = materialize(_boxes(leaves, "block", "vec", "vec"), "boxes")
-    n_blocks = boxes.count()
-    if n_blocks > 1:
+    if size.n > block_rows:
+        boxes = materialize(_boxes(leaves, "block", "vec", "vec"), "boxes")
+        n_blocks = boxes.count()
         visits = _visits(local, boxes, n_blocks, len(size.lo), k, route_bytes, min_hot_rows)
         hot = hot_keys(visits, ["block"], min_hot_rows)
         held = replicate(leaves, hot, ["block"]).select(

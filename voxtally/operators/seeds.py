@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from voxtally.functions.vectors import matrix, unit_rows
 from voxtally.operators.membership import best_target, group_means
-from voxtally.session import materialize
 from voxtally.sources.lexicons import Lexicon, seed_table
 
 # Weights of the review's own vector and of the seed's in the pulled vector.
@@ -91,10 +90,8 @@ def guide_vectors(
 
     ``seeds`` has one row per seed of the lexicon, so the driver holds a few vectors.
     """
-    seeds = materialize(seeds, "seed-vectors")
     rows = seeds.orderBy("seed_id").collect()
-    whole = materialize(group_means(docs.withColumn("_all", F.lit(0)), "_all", vector), "mean")
-    average = whole.first()
+    average = group_means(docs.withColumn("_all", F.lit(0)), "_all", vector).first()
     if not rows or average is None:
         return docs.withColumn(output, F.col(vector).cast("array<double>")).withColumn(
             "seed_id", F.lit(-1)

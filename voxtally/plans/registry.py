@@ -30,7 +30,7 @@ MIN_DF = 2
 TRIGGER = 0.05  # the tables have about a tenth of outliers
 NEAR = 5
 CORE_SAMPLES = 5
-CLUSTER = {"min_cluster_size": 8, "min_samples": 2, "n_neighbors": 2, "eps_quantile": 0.8}
+CLUSTER = {"min_cluster_size": 5, "min_samples": 2, "n_neighbors": 2, "eps_quantile": 0.45}
 
 
 # --- reviews and scopes -------------------------------------------------------------------------

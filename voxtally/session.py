@@ -28,6 +28,7 @@ def build_session(app: str = "voxtally", master: str | None = None, **conf: str)
 
 
 _shipped: set[str] = set()
+_local_folders: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -56,9 +57,10 @@ def work_folder(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    base = tempfile.mkdtemp(prefix="voxtally-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="voxtally-")
+    return _local_folders[application]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
