@@ -42,7 +42,8 @@ def dictionary_matches_join(
         return df.select(key, F.lit("").alias("word")).limit(0)
     pieces = F.array_distinct(F.concat(*[cuts(n) for n in lengths]))
     found = df.select(key, F.explode(pieces).alias("word"))
-    return skew_join(found, words.select("word").distinct(), ["word"], by=[key])
+    known = words.select("word").distinct()
+    return skew_join(found, known, ["word"], by=[key]).select(key, "word")
 
 
 def keyword_coverage(

@@ -52,7 +52,7 @@ def work_folder(spark: SparkSession) -> str:
 
     Only a local session may run without the setting; it gets a folder of its own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
