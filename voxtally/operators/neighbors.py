@@ -27,8 +27,8 @@ from voxtally.session import materialize
 BLOCK_ROWS = 2_048
 # Boxes that every task receives: at most this many bytes, whatever the number of points.
 ROUTE_BYTES = 16 << 20
-_CELLS = 1 << 21  # distances held at once by a task
-_NEAR = "array<struct<distance:double,vid:bigint>>"
+_CELLS = 1 << 18  # distances held at once by a task
+_FOUND = "distances array<double>, ids array<bigint>"
 
 
 @dataclass(frozen=True)
@@ -118,18 +118,24 @@ def _nearest(
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
-def _as_lists(rows: np.ndarray, ids: np.ndarray, distances: np.ndarray, count: int) -> list[list]:
-    lists: list[list] = [[] for _ in range(count)]
-    for row, vid, distance in zip(rows.tolist(), ids.tolist(), distances.tolist()):
-        lists[row].append({"distance": distance, "vid": vid})
-    return lists
+def _per_query(rows: np.ndarray, ids: np.ndarray, distances: np.ndarray, count: int) -> dict:
+    """The found rows, already in order of their query, as one array per query."""
+    cuts = np.searchsorted(rows, np.arange(1, count))
+    return {"distances": np.split(distances, cuts), "ids": np.split(ids, cuts)}
+
+
+def _near_column():
+    pair = F.zip_with(
+        "distances", "ids", lambda d, i: F.struct(d.alias("distance"), i.alias("vid"))
+    )
+    return pair.alias("near")
 
 
 def _within_block(k: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         points, ids = matrix(block["vec"]), block["vid"].to_numpy()
         found = _nearest(points, points, ids, k, np.full(len(ids), np.inf))
-        return block.assign(near=_as_lists(*found, len(ids)))
+        return block.assign(**_per_query(*found, len(ids)))
 
     return run
 
@@ -172,9 +178,9 @@ def _scan(k: int):
                     points = np.concatenate([matrix(h["vec"]) for h in held])
                     ids = np.concatenate([h["vid"].to_numpy() for h in held])
                 found = _nearest(matrix(rows["vec"]), points, ids, k, rows["reach"].to_numpy())
-                lists = _as_lists(*found, len(rows))
-                result = pd.DataFrame({"vid": rows["vid"].to_numpy(), "near": lists})
-                yield result[result["near"].map(len) > 0]
+                lists = _per_query(*found, len(rows))
+                result = pd.DataFrame({"vid": rows["vid"].to_numpy(), **lists})
+                yield result[result["ids"].map(len) > 0]
 
     return run
 
@@ -197,8 +203,8 @@ def neighborhood(
         vector_to_array(Summarizer.max(array_to_vector("vec"))).alias("hi"),
     ).first()
     if not size.n:
-        empty = points.select("vid", F.array().cast(_NEAR).alias("near"))
-        return Neighborhood(points, empty, False)
+        pairs = "array<struct<distance:double,vid:bigint>>"
+        return Neighborhood(points, points.select("vid", F.array().cast(pairs).alias("near")), False)
 
     place = _curve(np.array(size.lo), np.array(size.hi))
     parts = max(1, size.n // (32 * block_rows))
@@ -213,11 +219,11 @@ def neighborhood(
     )
     local = materialize(
         leaves.groupBy("block").applyInPandas(
-            _within_block(k + 1), f"vid bigint, vec array<double>, block bigint, near {_NEAR}"
+            _within_block(k + 1), f"vid bigint, vec array<double>, block bigint, {_FOUND}"
         ),
         "own-block",
     )
-    lists = local.select("vid", "near")
+    lists = local.select("vid", _near_column())
     if size.n > block_rows:
         boxes = materialize(_boxes(leaves, "block", "vec", "vec"), "boxes")
         n_blocks = boxes.count()
@@ -233,7 +239,8 @@ def neighborhood(
             held.unionByName(visiting)
             .repartition("block", "_salt")
             .sortWithinPartitions("block", "_salt", "visitor")
-            .mapInPandas(_scan(k + 1), f"vid bigint, near {_NEAR}")
+            .mapInPandas(_scan(k + 1), f"vid bigint, {_FOUND}")
+            .select("vid", _near_column())
         )
         merged = F.array_sort(F.flatten(F.collect_list("near")))
         lists = (
@@ -255,7 +262,7 @@ def _visits(
     min_hot_rows: int,
 ) -> DataFrame:
     """``(vid, vec, reach, block)``: which other blocks each point has to look into."""
-    reach = F.coalesce(F.get("near", F.lit(k))["distance"], F.lit(float("inf")))
+    reach = F.coalesce(F.get("distances", F.lit(k)), F.lit(float("inf")))
     asking = local.select("vid", "vec", "block", reach.alias("reach"))
     schema = "vid bigint, vec array<double>, block bigint, reach double, target bigint"
     most = max(2, route_bytes // (16 * dims))

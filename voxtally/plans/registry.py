@@ -60,7 +60,7 @@ def sample_per_brand(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clean_review_text(spark: SparkSession, folder: str) -> DataFrame:
-    return reviews(spark, folder).select(
+    return reviews(spark, folder, heavy=True).select(
         "review_id", clean_text("content_clean", LEXICON.clean_patterns).alias("content_clean")
     )
 
