@@ -45,21 +45,28 @@ class Neighborhood:
     has_copies: bool
 
 
-def distinct_points(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """One row per distinct vector. Only the ``k + 1`` lowest ids of a vector are kept: no result
-    list can reach further into a group of copies."""
+def distinct_points(df: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame, bool]:
+    """One row per distinct vector, and whether any vector has copies.
+
+    Only the ``k + 1`` lowest ids of a vector are kept: no result list can reach further into a
+    group of copies. Both the counts and the lowest ids combine before the shuffle.
+    """
     rows = df.select(
         F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")
     )
+    counts = rows.groupBy("vec").agg(F.min("id").alias("vid"), F.count("*").alias("copies"))
+    counts = materialize(counts.select("vid", "vec", "copies"), "distinct")
+    if counts.where("copies > 1").isEmpty():
+        return counts.withColumn("members", F.array("vid")), False
     order = Window.partitionBy("vec").orderBy("id")
     lowest = (
         rows.withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") <= k + 1)
         .groupBy("vec")
-        .agg(F.min("id").alias("vid"), F.array_sort(F.collect_list("id")).alias("members"))
+        .agg(F.array_sort(F.collect_list("id")).alias("members"))
+        .select(F.col("members")[0].alias("vid"), "members")
     )
-    copies = rows.groupBy("vec").agg(F.count("*").alias("copies"))
-    return lowest.join(copies, "vec").select("vid", "vec", "copies", "members")
+    return materialize(counts.join(lowest, "vid"), "points"), True
 
 
 def _curve(lo: np.ndarray, hi: np.ndarray):
@@ -195,10 +202,9 @@ def neighborhood(
     min_hot_rows: int = 100_000,
 ) -> Neighborhood:
     """The ``k + 1`` nearest distinct points of every distinct point, itself included."""
-    points = materialize(distinct_points(df, key, vector, k), "points")
+    points, has_copies = distinct_points(df, key, vector, k)
     size = points.agg(
         F.count("*").alias("n"),
-        F.max("copies").alias("copies"),
         vector_to_array(Summarizer.min(array_to_vector("vec"))).alias("lo"),
         vector_to_array(Summarizer.max(array_to_vector("vec"))).alias("hi"),
     ).first()
@@ -249,7 +255,7 @@ def neighborhood(
             .agg(F.slice(merged, 1, k + 1).alias("near"))
         )
         lists = materialize(lists, "neighbor-lists")
-    return Neighborhood(points, lists, size.copies > 1)
+    return Neighborhood(points, lists, has_copies)
 
 
 def _visits(

@@ -249,7 +249,8 @@ def reduce_pca(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _reduced(spark: SparkSession, folder: str) -> DataFrame:
-    return reducing.reduce_random(vectors(spark, folder)).select("review_id", "reduced")
+    reduced = reducing.reduce_random(vectors(spark, folder))
+    return materialize(reduced.select("review_id", "reduced"), "reduced")
 
 
 def knn(spark: SparkSession, folder: str) -> DataFrame:
