@@ -248,16 +248,26 @@ def neighborhood(
             .mapInPandas(_scan(k + 1), f"vid bigint, {_FOUND}")
             .select("vid", _near_column())
         )
-        merged = F.array_sort(F.flatten(F.collect_list("near")))
-        lists = (
-            lists.unionByName(found)
-            .groupBy("vid")
-            .agg(F.slice(merged, 1, k + 1).alias("near"))
-        )
+        lists = _merge(lists.unionByName(found), k)
         lists = materialize(lists, "neighbor-lists")
     return Neighborhood(points, lists, has_copies)
 
 
+def _merge(lists: DataFrame, k: int) -> DataFrame:
+    """One list per point out of those from each block it visited. A remote point may visit very
+    many blocks, so its candidates are cut to ``k + 1`` per partition before they meet."""
+    order = Window.partitionBy("vid").orderBy("distance", "near_vid")
+    pair = F.struct("distance", F.col("near_vid").alias("vid"))
+    return (
+        lists.select("vid", F.explode("near").alias("_e"))
+        .select("vid", "_e.distance", F.col("_e.vid").alias("near_vid"))
+        .withColumn("_rank", F.row_number().over(order))
+        .where(F.col("_rank") <= k + 1)
+        .groupBy("vid")
+        .agg(F.array_sort(F.collect_list(pair)).alias("near"))
+    )
+
+
 def _visits(
     local: DataFrame,
     boxes: DataFrame,

@@ -85,16 +85,20 @@ def prepare(reviews: DataFrame, lexicon: Lexicon, params: TopicParams) -> DataFr
 def fit_topics(docs: DataFrame, lexicon: Lexicon, params: TopicParams = ALL_REVIEWS) -> TopicModel:
     """Group reviews with vectors into topics and describe the topics.
 
-    ``docs`` needs ``review_id``, ``content_clean`` and ``embedding``; other columns pass through to
-    the assignments. Token lists and vectors are written once and then read by every later step.
+    ``docs`` needs ``review_id``, ``content_clean`` and ``embedding``; it is read again for the
+    assignments, where its other columns pass through, so the texts are never copied. Token lists
+    are written once and then read by every later step.
     """
-    docs = materialize(
-        tokenize(docs, lexicon, low=params.low, analyzer=params.analyzer), "tokens"
+    work = materialize(
+        tokenize(docs, lexicon, low=params.low, analyzer=params.analyzer).select(
+            "review_id", "tokens", "embedding"
+        ),
+        "tokens",
     )
-    space, vector = docs, "embedding"
+    space, vector = work, "embedding"
     if params.guided and lexicon.seeds:
-        seeds = seed_vectors(docs, lexicon.seeds)
-        space = guide_vectors(docs, seeds, output="_guided").drop("seed_id")
+        seeds = seed_vectors(work, lexicon.seeds)
+        space = guide_vectors(work, seeds, output="_guided").drop("seed_id")
         vector = "_guided"
     reduced = materialize(
         params.reducer(
@@ -111,10 +115,11 @@ def fit_topics(docs: DataFrame, lexicon: Lexicon, params: TopicParams = ALL_REVI
         eps_quantile=params.eps_quantile,
         **params.options,
     )
-    first = materialize(docs.join(groups, "review_id"), "first-topics")
+    first = materialize(work.join(groups, "review_id"), "first-topics")
     centroids = materialize(topic_centroids(first), "centroids")
     final = materialize(
-        reassign_outliers(first, params.outlier_threshold, centroids), "final-topics"
+        reassign_outliers(first, params.outlier_threshold, centroids).drop("embedding"),
+        "final-topics",
     )
     moved = not final.where(F.col("topic") != F.col("old_topic")).isEmpty()
     describe = keywords.refresh_keywords if moved else keywords.class_tfidf
@@ -128,7 +133,7 @@ def fit_topics(docs: DataFrame, lexicon: Lexicon, params: TopicParams = ALL_REVI
     terms = materialize(keywords.top_terms(weights, params.top_n_words), "top-terms")
     names = materialize(keywords.topic_names(final, terms), "names")
     info = materialize(report.topic_info(final, names, NOISE_LABEL), "topic-info")
-    assignments = final.drop("tokens", "old_topic")
+    assignments = docs.join(final.select("review_id", "topic"), "review_id")
     return TopicModel(assignments, info, terms, names, centroids)
 
 
