@@ -1,60 +1,82 @@
-"""Connected components by repeated joins."""
+"""Connected components by contracting the graph, in a logarithmic number of rounds."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.operators.skew import fits_broadcast, skew_join
 from voxtally.session import materialize
 
 
-def connected_components(
-    nodes: DataFrame, edges: DataFrame, min_hot_rows: int = 100_000
-) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, component)``: the lowest node each node is connected to.
 
-    ``nodes`` has the column ``node``, ``edges`` the columns ``a`` and ``b`` in either direction.
-    In each round every group of equally labelled nodes takes the lowest label next to any of its
-    nodes, and then that label's own new label, so groups at least pair up and the rounds grow with
-    the logarithm of the node count. What a round yields is a written table. Many nodes share a
-    label, so joins on labels split the hot ones.
+    ``nodes`` has the column ``node``, ``edges`` the columns ``a`` and ``b`` in either direction;
+    nulls and loops in ``edges`` are ignored, and nodes may be of any type that has an order.
+
+    In each round nodes get fresh random ranks, every node moves to the lowest rank within two
+    steps, and the moved nodes become the next, smaller graph. The order of the nodes has no
+    influence, so a path with ordered ids shrinks by a constant factor per round like any other
+    graph. The moves of a round are a written table; they are composed from the last round back to
+    the first, and their sizes fall geometrically. Keys with many rows (hubs, large components) are
+    combined on the map side in the aggregates and split by adaptive skew joins.
     """
-    both = edges.select("a", "b").unionByName(
-        edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    found, _ = contract(edges)
+    return (
+        nodes.join(found, "node", "left")
+        .select("node", F.coalesce("component", "node").alias("component"))
     )
-    both = materialize(both.where("a <> b").distinct(), "edges")
-    labels = nodes.select("node", F.col("node").alias("label"))
-    while True:
-        nearby = (
-            both.join(labels.select(F.col("node").alias("b"), "label"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("_near"))
-        )
-        labelled = materialize(labels.join(nearby, "node", "left"), "labelled")
-        moves = materialize(
-            labelled.groupBy("label")
-            .agg(F.min("_near").alias("_to"))
-            .where(F.col("_to") < F.col("label")),
-            "moves",
-        )
-        if moves.isEmpty():
-            return labelled.select("node", F.col("label").alias("component"))
-        small = fits_broadcast(moves, row_bytes=64)
-        onward = moves.select(F.col("label").alias("_to"), F.col("_to").alias("_next"))
-        moves = _join(moves, onward, "_to", "label", small, min_hot_rows).select(
-            "label", F.coalesce("_next", "_to").alias("_to")
+
+
+def contract(edges: DataFrame) -> tuple[DataFrame, int]:
+    """``(node, component)`` of the nodes that have an edge, and the number of rounds."""
+    graph = materialize(_both_ways(edges.select("a", "b")), "edges")
+    moves: list[DataFrame] = []
+    while not graph.isEmpty():
+        move = materialize(_moves(graph, len(moves)), "moves")
+        moves.append(move)
+        graph = materialize(
+            _both_ways(
+                graph.join(move.select(F.col("node").alias("a"), F.col("root").alias("_a")), "a")
+                .join(move.select(F.col("node").alias("b"), F.col("root").alias("_b")), "b")
+                .select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+            ),
+            "edges",
         )
-        labels = _join(labelled.drop("_near"), moves, "label", "node", small, min_hot_rows).select(
-            "node", F.coalesce("_to", "label").alias("label")
+    if not moves:
+        node = graph.select(F.col("a").alias("node"))
+        return node.withColumn("component", F.col("node")), 0
+    roots = moves[-1]
+    for move in reversed(moves[:-1]):
+        later = roots.select(F.col("node").alias("root"), F.col("root").alias("_next"))
+        roots = materialize(
+            move.join(later, "root", "left").select(
+                "node", F.coalesce("_next", "root").alias("root")
+            ),
+            "roots",
         )
-        if not small:
-            labels = materialize(labels, "labels")
+    lowest = roots.groupBy("root").agg(F.min("node").alias("component"))
+    return roots.join(lowest, "root").select("node", "component"), len(moves)
+
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    edges = edges.where("a <> b")
+    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
-def _join(
-    left: DataFrame, right: DataFrame, key: str, by: str, small: bool, min_rows: int
-) -> DataFrame:
-    if small:
-        return left.join(F.broadcast(right), key, "left")
-    return skew_join(left, right, [key], [by], "left", min_rows)
+
+def _moves(graph: DataFrame, turn: int) -> DataFrame:
+    """Where each node goes: the lowest rank within two steps of it."""
+
+    def ranked(node: str) -> Column:
+        return F.struct(F.xxhash64(node, F.lit(turn)).alias("rank"), F.col(node).alias("node"))
+
+    near = graph.groupBy("a").agg(F.min(ranked("b")).alias("_near"))
+    near = near.select("a", F.least("_near", ranked("a")).alias("_near"))
+    beyond = (
+        graph.join(near.withColumnRenamed("a", "b"), "b")
+        .groupBy("a")
+        .agg(F.min("_near").alias("_far"))
+    )
+    return near.join(beyond, "a").select(
+        F.col("a").alias("node"), F.least("_near", "_far")["node"].alias("root")
+    )
