@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from voxtally.llm import chat, decontamination, quality_classifier, quality_rules, url_filters
+from voxtally.llm import (
+    chat,
+    decontamination,
+    packing,
+    quality_classifier,
+    quality_rules,
+    token_counts,
+    url_filters,
+)
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_url_filters": url_filters.op4_url_filters,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
 }
