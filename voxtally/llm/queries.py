@@ -5,6 +5,7 @@ from __future__ import annotations
 from voxtally.llm import (
     chat,
     decontamination,
+    ngram_join,
     packing,
     quality_classifier,
     quality_rules,
@@ -20,10 +21,12 @@ QUERIES = {
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
+    "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
 }
 
 ORACLES = {
     "op1_chat_formatting": chat.OP1_SQL,
     "op4_url_filters": url_filters.OP4_SQL,
     "op8_benchmark_decontamination": decontamination.OP8_SQL,
+    "op10_ngram_jaccard_join": ngram_join.OP10_SQL,
 }
