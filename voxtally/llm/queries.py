@@ -5,6 +5,7 @@ from __future__ import annotations
 from voxtally.llm import (
     chat,
     decontamination,
+    line_dedup,
     ngram_join,
     packing,
     quality_classifier,
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_url_filters": url_filters.op4_url_filters,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_fuzzy_line_dedup": line_dedup.op7_fuzzy_line_dedup,
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
