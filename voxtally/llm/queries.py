@@ -10,6 +10,7 @@ from voxtally.llm import (
     packing,
     quality_classifier,
     quality_rules,
+    substring_dedup,
     token_counts,
     url_filters,
 )
@@ -17,6 +18,7 @@ from voxtally.llm import (
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_suffix_array_dedup": substring_dedup.op3_suffix_array_dedup,
     "op4_url_filters": url_filters.op4_url_filters,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_token_counts": token_counts.op6_token_counts,
