@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 
 
+def documents(docs: DataFrame, doc_id: str, text: str, carry: Sequence[str] = ()) -> tuple[DataFrame, str]:
+    """``docs`` as ``doc_id``, ``text`` and, if there is anything to carry along, ``rest``: the other
+    wanted columns in one struct. The second value is what a schema says of ``rest``."""
+    rows = docs.select(
+        F.col(doc_id).cast("bigint").alias("doc_id"),
+        F.col(text).alias("text"),
+        *([F.struct(*carry).alias("rest")] if carry else []),
+    )
+    return rows, f", rest {rows.schema['rest'].dataType.simpleString()}" if carry else ""
+
+
 def binary(column: pa.Array) -> list[bytes]:
     """The column's texts as bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
 import ahocorasick
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtally.llm.batches import binary, runs, slices
+from voxtally.llm.batches import binary, documents, runs, slices
 from voxtally.llm.tables import table
 from voxtally.session import materialize
 
@@ -65,7 +65,7 @@ class Passages:
         return spans, names
 
 
-STATE = "doc_id bigint, text string, n_words bigint, hits array<bigint>, items array<string>"
+STATE = "n_words bigint, hits array<bigint>, items array<string>"
 
 
 def _scan(items: list[tuple[str, bytes]], window: int):
@@ -83,15 +83,14 @@ def _scan(items: list[tuple[str, bytes]], window: int):
                     counts.append(len(words))
                     hits.append(sorted({*before, *(i for a, b in spans for i in range(a, b))}))
                     names.append(sorted({*known, *found}))
+                found = {
+                    "n_words": pa.array(counts, pa.int64()),
+                    "hits": pa.array(hits, pa.list_(pa.int64())),
+                    "items": pa.array(names, pa.list_(pa.string())),
+                }
+                columns = [c for c in batch.schema.names if c not in found]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch["doc_id"],
-                        batch["text"],
-                        pa.array(counts, pa.int64()),
-                        pa.array(hits, pa.list_(pa.int64())),
-                        pa.array(names, pa.list_(pa.string())),
-                    ],
-                    names=["doc_id", "text", "n_words", "hits", "items"],
+                    [*(batch[c] for c in columns), *found.values()], names=[*columns, *found]
                 )
 
     return run
@@ -118,27 +117,22 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest = hashlib.sha256(",".join(items).encode()).hexdigest()
                 rows.append((len(hits), items, digest, bool(hits), spans))
             columns = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"],
-                    batch["text"],
-                    batch["n_words"],
-                    pa.array(columns[0], pa.int64()),
-                    pa.array([len(x) for x in columns[1]], pa.int64()),
-                    pa.array(columns[2], pa.string()),
-                    pa.array(columns[3], pa.bool_()),
-                    pa.array(columns[1], pa.list_(pa.string())),
-                    pa.array(columns[4], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                ],
-                names=REPORT_NAMES,
-            )
+            found = {
+                "n_hit": pa.array(columns[0], pa.int64()),
+                "n_items": pa.array([len(x) for x in columns[1]], pa.int64()),
+                "items_sha256": pa.array(columns[2], pa.string()),
+                "contaminated": pa.array(columns[3], pa.bool_()),
+                "items": pa.array(columns[1], pa.list_(pa.string())),
+                "spans": pa.array(columns[4], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+            }
+            before = [c for c in batch.schema.names if c not in ("hits", "items")]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in before), *found.values()], names=[*before, *found])
 
 
 REPORT = (
-    "doc_id bigint, text string, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, "
-    "contaminated boolean, items array<string>, spans array<struct<start: bigint, end: bigint>>"
+    "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, "
+    "items array<string>, spans array<struct<start: bigint, end: bigint>>"
 )
-REPORT_NAMES = [part.split()[0] for part in REPORT.replace("struct<start: bigint, end: bigint>", "x").split(", ")]
 
 
 def find_contamination(
@@ -150,8 +144,9 @@ def find_contamination(
     item_id: str = "item_id",
     item_text: str = "text",
     automaton_bytes: int = AUTOMATON_BYTES,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """What each row of ``docs`` shares with the benchmark; columns as in ``REPORT``.
+    """``doc_id``, ``text``, what each row shares with the benchmark as in ``REPORT``, and ``carry``.
 
     Words are runs of digits, letters and non-ASCII characters, with A-Z lower-cased. Every
     ``window`` consecutive words of an item are a passage, and so are all words of a shorter item.
@@ -170,9 +165,10 @@ def find_contamination(
     ).where("text IS NOT NULL")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-size // automaton_bytes) or 1
-    state = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).select(
-        "doc_id",
-        "text",
+    state, rest = documents(docs, doc_id, text, carry)
+    own = f"doc_id bigint, text string{rest}, "
+    state = state.select(
+        "*",
         F.lit(0).cast("bigint").alias("n_words"),
         F.array().cast("array<bigint>").alias("hits"),
         F.array().cast("array<string>").alias("items"),
@@ -180,10 +176,11 @@ def find_contamination(
     for part in range(parts):
         chosen = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
         items = [(r["item_id"], bytes(r["text"])) for r in chosen]
-        state = state.mapInArrow(_scan(items, window), STATE)
+        state = state.mapInArrow(_scan(items, window), own + STATE)
         if part < parts - 1:
             state = materialize(state, "scanned")
-    return state.mapInArrow(_report, REPORT)
+    found = state.mapInArrow(_report, own + REPORT)
+    return found.select("*", "rest.*").drop("rest") if carry else found
 
 
 def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtally.llm.batches import binary, slices
+from voxtally.llm.batches import binary, documents, slices
 from voxtally.llm.tables import table
 
 WIDTH = 8  # bytes under a filter
@@ -153,18 +153,8 @@ def unpack_chunks(blob: bytes) -> np.ndarray:
     return np.where(np.arange(CHUNK) < sizes[:, None], rows[:, 2:].astype(np.int16), PAD)
 
 
-def score_text(net: Network, text: bytes) -> float:
-    """The probability for one whole text: the mean of its chunks' numbers, squashed."""
-    data = np.frombuffer(text or b"\0", dtype=np.uint8)
-    starts, total = chunk_starts(len(text)), 0.0
-    for at in range(0, len(starts), BLOCK):
-        part = starts[at : at + BLOCK]
-        total += float(net.logits(chunk_matrix(data, part, np.full(len(part), len(text)))).sum(dtype=np.float64))
-    return float(_sigmoid(np.float64(total / len(starts))))
-
-
 def score_texts(net: Network, texts: list[bytes]) -> list[float]:
-    """The same for many texts at once; each block of chunks may hold several texts."""
+    """The probability of each whole text: the mean of its chunks' numbers, squashed."""
     data = np.frombuffer(b"".join(texts) or b"\0", dtype=np.uint8)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     offsets = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -232,27 +222,32 @@ def fit_classifier(
     return train([(bytes(r["chunks"]), r["label"]) for r in rows])
 
 
-def score_quality(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for every row, from its whole text alone.
+def score_quality(
+    docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = ()
+) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` and the columns of ``carry`` for every row.
 
-    A null text scores as an empty one; repeated rows are scored one by one. Texts are cut into
-    overlapping chunks that cover every byte, and worked on in blocks of bounded size.
+    A score comes from the whole text alone, cut into overlapping chunks that cover every byte and
+    worked on in blocks of bounded size. A null text scores as an empty one; repeated rows are
+    scored one by one.
     """
+    rows, rest = documents(docs, doc_id, text, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 scores = score_texts(net, binary(batch["text"]))
+                names = [c for c in batch.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"], pa.array(scores, pa.float64())], names=["doc_id", "score"]
+                    [*(batch[c] for c in names), pa.array(scores, pa.float64())], names=[*names, "score"]
                 )
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, score double").select(
+    return rows.mapInArrow(run, f"doc_id bigint{rest}, score double").select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+        *(["rest.*"] if carry else []),
     )
 
 
