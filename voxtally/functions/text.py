@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,12 +58,15 @@ def letter_runs(column: Column) -> Column:
 
 
 def tagged_analyzer(
-    analyse: Callable[[str], Iterable[tuple[str, str]]], tags: Sequence[str] = TARGET_TAGS
+    analyse: Callable[[str], Iterable[tuple[str, str]]],
+    tags: Sequence[str] = TARGET_TAGS,
+    errors: Accumulator | None = None,
 ) -> Analyzer:
     """Turn a morphological analyser into an analyzer column function.
 
     ``analyse`` yields ``(form, tag)`` pairs; only the given tags are kept. A text on which it
-    raises gives null, which the tokenizer turns into an empty list.
+    raises gives null, which the tokenizer turns into an empty list; ``errors``, an accumulator of
+    the Spark context, counts such texts (those of repeated tasks again).
     """
     keep = frozenset(tags)
 
@@ -70,6 +74,8 @@ def tagged_analyzer(
         try:
             return [form for form, tag in analyse(text or "") if tag in keep]
         except Exception:
+            if errors is not None:
+                errors.add(1)
             return None
 
     @F.pandas_udf("array<string>")

@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 FEATURES = 512
 
 
-def fit_hash_embed(
-    docs: DataFrame, tokens: str = "tokens", features: int = FEATURES
-) -> PipelineModel:
-    """Fit the document frequencies: one pass that sends ``features`` numbers to the driver."""
-    stages = [
-        HashingTF(numFeatures=features, inputCol=tokens, outputCol="_tf"),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_unit"),
-    ]
-    return Pipeline(stages=stages).fit(docs.select(tokens))
+def bucket_of(token: str, features: int = FEATURES):
+    """The feature of a token: the first four hexadecimal digits of its md5."""
+    return F.conv(F.substring(F.md5(token), 1, 4), 16, 10).cast("int") % features
 
 
 def hash_embed(
@@ -27,12 +18,38 @@ def hash_embed(
     tokens: str = "tokens",
     output: str = "embedding",
     features: int = FEATURES,
-    model: PipelineModel | None = None,
+    key: str = "review_id",
 ) -> DataFrame:
-    """Add a unit vector of ``features`` hashed TF-IDF weights."""
-    model = model or fit_hash_embed(docs, tokens, features)
-    return (
-        model.transform(docs)
-        .withColumn(output, vector_to_array("_unit", "float32"))
-        .drop("_tf", "_tfidf", "_unit")
+    """Add a vector of ``features`` hashed TF-IDF weights of unit length.
+
+    A text without tokens, or with none that tells texts apart, has a vector of zeros. Term counts
+    combine on the map side and a text has at most ``features`` of them; the document frequencies
+    are a table of at most ``features`` rows.
+    """
+    counts = (
+        docs.select(key, F.explode(tokens).alias("_token"))
+        .groupBy(key, bucket_of("_token", features).alias("_bucket"))
+        .agg(F.count("*").alias("_n"))
+    )
+    frequency = counts.groupBy("_bucket").agg(F.count("*").alias("_df"))
+    total = docs.agg(F.count("*").alias("_total"))
+    idf = frequency.crossJoin(F.broadcast(total)).select(  # one row, one number
+        "_bucket", F.log((F.col("_total") + 1.0) / (F.col("_df") + 1.0)).alias("_idf")
+    )
+    weights = (
+        counts.join(F.broadcast(idf), "_bucket")
+        .groupBy(key)
+        .agg(
+            F.map_from_entries(
+                F.collect_list(F.struct("_bucket", (F.col("_n") * F.col("_idf")).alias("w")))
+            ).alias("_weights"),
+            F.sqrt(F.sum((F.col("_n") * F.col("_idf")) ** 2)).alias("_norm"),
+        )
+    )
+    weight = F.transform(
+        F.sequence(F.lit(0), F.lit(features - 1)),
+        lambda b: F.when(F.col("_norm") > 0, F.coalesce(F.try_element_at("_weights", b), F.lit(0.0)) / F.col("_norm"))
+        .otherwise(F.lit(0.0))
+        .cast("float"),
     )
+    return docs.join(weights, key, "left").withColumn(output, weight).drop("_weights", "_norm")

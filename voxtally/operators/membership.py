@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtally.functions.vectors import matrix, unit_rows
@@ -34,26 +34,32 @@ def topic_centroids(docs: DataFrame, vector: str = "embedding") -> DataFrame:
     return group_means(docs.where(F.col("topic") != -1), "topic", vector)
 
 
-def _pieces(targets: DataFrame, target: str, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The target table as ids and matrix, in pieces of at most ``limit`` bytes."""
+def _pieces(targets: DataFrame, target: str, limit: int) -> list[DataFrame]:
+    """The target table in pieces of at most ``limit`` bytes; none if it is empty."""
     size = targets.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dims")).first()
     if not size.n:
-        return
+        return []
     rows = max(1, limit // (8 * size.dims))
     if size.n <= rows:
-        pieces = [targets]
-    else:
-        numbered = materialize(number_rows(targets, [F.col(target)], "_row"), "targets")
-        pieces = [
-            numbered.where((F.col("_row") >= start) & (F.col("_row") < start + rows))
-            for start in range(0, size.n, rows)
-        ]
-    for piece in pieces:
-        held = piece.select(target, "vec").orderBy(target).collect()
-        yield (
-            np.array([r[0] for r in held], dtype="int64"),
-            np.array([r.vec for r in held], dtype="float64"),
-        )
+        return [targets]
+    numbered = materialize(number_rows(targets, [F.col(target)], "_row"), "targets")
+    return [
+        numbered.where((F.col("_row") >= start) & (F.col("_row") < start + rows))
+        for start in range(0, size.n, rows)
+    ]
+
+
+def _held(piece: DataFrame, target: str) -> tuple[np.ndarray, np.ndarray]:
+    rows = piece.select(target, "vec").orderBy(target).collect()
+    return np.array([r[0] for r in rows], dtype="int64"), np.array([r.vec for r in rows], dtype="float64")
+
+
+def _passes(pieces: list[DataFrame], target: str, scored: Callable[..., DataFrame], name: str) -> list[DataFrame]:
+    """One table per piece. Of several, each is written before the next piece is fetched, so that
+    the driver holds one piece at a time."""
+    if len(pieces) == 1:
+        return [scored(*_held(pieces[0], target))]
+    return [materialize(scored(*_held(piece, target)), name) for piece in pieces]
 
 
 def _similarities(rows: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -66,12 +72,14 @@ def membership(
     key: str = "review_id",
     vector: str = "embedding",
     limit: int = TARGET_BYTES,
+    best: int | None = None,
 ) -> DataFrame:
     """``(key, topic, prob)``: cosine to each topic's mean, negatives as zero, summing to one
     (to zero for a review that points toward no topic).
 
     ``centroids`` should be a written table. While it fits ``limit`` bytes this is one narrow pass;
-    beyond that, one pass per piece and a sum over the pieces.
+    beyond that, one pass per piece and a sum over the pieces. ``best`` keeps only the highest
+    shares of each review (of equal ones the lower topic).
     """
     schema = f"{key} bigint, topics array<int>, sims array<double>, total double"
 
@@ -80,35 +88,37 @@ def membership(
             for batch in batches:
                 if len(batch):
                     sims = _similarities(matrix(batch[vector]), means)
+                    total = sims.sum(axis=1)
+                    topics = np.broadcast_to(ids, sims.shape)
+                    if best is not None and best < len(ids):
+                        top = np.argsort(-sims, axis=1, kind="stable")[:, :best]
+                        topics, sims = ids[top], np.take_along_axis(sims, top, axis=1)
                     yield pd.DataFrame(
-                        {
-                            key: batch[key].to_numpy(),
-                            "topics": [ids] * len(batch),
-                            "sims": list(sims),
-                            "total": sims.sum(axis=1),
-                        }
+                        {key: batch[key].to_numpy(), "topics": list(topics), "sims": list(sims), "total": total}
                     )
 
         return docs.select(F.col(key).cast("long").alias(key), vector).mapInPandas(run, schema)
 
-    parts = [scored(*piece) for piece in _pieces(centroids, "topic", limit)]
+    parts = _passes(_pieces(centroids, "topic", limit), "topic", scored, "membership")
     if not parts:
         return docs.select(
             F.col(key).cast("long").alias(key), F.lit(0).alias("topic"), F.lit(0.0).alias("prob")
         ).limit(0)
     if len(parts) > 1:
-        written = reduce(
-            lambda a, b: a.unionByName(b), [materialize(p, "membership") for p in parts]
-        )
+        written = reduce(lambda a, b: a.unionByName(b), parts)
         totals = written.groupBy(key).agg(F.sum("total").alias("total"))
         scores = written.drop("total").join(totals, key)
     else:
         scores = parts[0]
     pair = F.arrays_zip("topics", "sims")
     prob = F.when(F.col("total") > 0, F.col("_p.sims") / F.col("total")).otherwise(F.lit(0.0))
-    return scores.select(key, "total", F.explode(pair).alias("_p")).select(
+    rows = scores.select(key, "total", F.explode(pair).alias("_p")).select(
         key, F.col("_p.topics").alias("topic"), prob.alias("prob")
     )
+    if best is None or len(parts) == 1:
+        return rows
+    order = Window.partitionBy(key).orderBy(F.desc("prob"), "topic")
+    return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= best).drop("_k")
 
 
 def best_target(
@@ -118,26 +128,29 @@ def best_target(
     key: str = "review_id",
     vector: str = "embedding",
     limit: int = TARGET_BYTES,
+    positive: bool = True,
 ) -> DataFrame:
-    """``(key, target, similarity)``: the target of the highest positive cosine, the lower id on
-    a tie; rows without one are left out."""
+    """``(key, target, similarity)``: the target of the highest cosine, the lower id on a tie.
+
+    With ``positive``, rows whose highest cosine is not above zero are left out.
+    """
     schema = f"{key} bigint, {target} int, similarity double"
 
     def scored(ids: np.ndarray, vectors: np.ndarray) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch):
-                    sims = _similarities(matrix(batch[vector]), vectors)
+                    sims = unit_rows(matrix(batch[vector])) @ unit_rows(vectors).T
                     best = sims.argmax(axis=1)
                     top = sims[np.arange(len(best)), best]
                     found = pd.DataFrame(
                         {key: batch[key].to_numpy(), target: ids[best], "similarity": top}
                     )
-                    yield found[top > 0]
+                    yield found[top > 0] if positive else found
 
         return docs.select(F.col(key).cast("long").alias(key), vector).mapInPandas(run, schema)
 
-    parts = [scored(*piece) for piece in _pieces(targets, target, limit)]
+    parts = _passes(_pieces(targets, target, limit), target, scored, "best")
     if not parts:
         return docs.select(
             F.col(key).cast("long").alias(key),
@@ -146,7 +159,7 @@ def best_target(
         ).limit(0)
     if len(parts) == 1:
         return parts[0]
-    written = reduce(lambda a, b: a.unionByName(b), [materialize(p, "best") for p in parts])
+    written = reduce(lambda a, b: a.unionByName(b), parts)
     order = F.struct("similarity", -F.col(target))
     return written.groupBy(key).agg(
         F.max_by(target, order).alias(target), F.max("similarity").alias("similarity")
@@ -174,7 +187,7 @@ def reassign_outliers(
     asking = (F.col("topic") == -1) & (share > threshold)
     bytes_needed = centroids.agg(F.sum(F.size("vec") * 8)).first()[0] or 0
     if bytes_needed <= limit:
-        pieces = list(_pieces(centroids, "topic", limit))
+        pieces = [_held(piece, "topic") for piece in _pieces(centroids, "topic", limit)]
         marked = docs.withColumn("_asking", F.when(asking, F.col(vector)))
         likeliest = _likeliest(*pieces[0])(F.col("_asking")) if pieces else F.lit(None).cast("int")
         marked = marked.withColumn("_new", likeliest)

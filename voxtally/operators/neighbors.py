@@ -46,14 +46,14 @@ class Neighborhood:
 
 
 def distinct_points(df: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame, bool]:
-    """One row per distinct vector, and whether any vector has copies.
+    """One row per distinct vector, and whether any vector has copies; rows without one are left out.
 
     Only the ``k + 1`` lowest ids of a vector are kept: no result list can reach further into a
     group of copies. Both the counts and the lowest ids combine before the shuffle.
     """
     rows = df.select(
         F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")
-    )
+    ).where("vec IS NOT NULL")
     counts = rows.groupBy("vec").agg(F.min("id").alias("vid"), F.count("*").alias("copies"))
     counts = materialize(counts.select("vid", "vec", "copies"), "distinct")
     if counts.where("copies > 1").isEmpty():

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxtally.functions.text import Analyzer, letter_runs, tokenize
 from voxtally.functions.vectors import matrix, unit_rows
 from voxtally.operators.membership import best_target, group_means
 from voxtally.sources.lexicons import Lexicon, seed_table
@@ -27,12 +28,35 @@ def matching_seeds(tokens: str | Column, seeds: Sequence[Sequence[str]]) -> Colu
     return F.array_compact(F.array(*flags)) if flags else F.array().cast("array<int>")
 
 
+def reachable_seeds(
+    spark: SparkSession, lexicon: Lexicon, low: bool = False, analyzer: Analyzer = letter_runs
+) -> DataFrame:
+    """``(seed_id, pos, word, reachable)``: whether the tokenizer yields a seed's word at all.
+
+    It is run on each word, and on each word that has it as its normal form.
+    """
+    seeds = seed_table(spark, lexicon)
+    texts = [(w, w) for w in lexicon.seed_words()] + [
+        (v, k) for k, v in lexicon.synonyms.items() if v in lexicon.seed_words()
+    ]
+    tried = tokenize(
+        spark.createDataFrame(texts, "word string, content_clean string"), lexicon, low=low, analyzer=analyzer
+    )
+    reached = tried.groupBy("word").agg(F.bool_or(F.array_contains("tokens", F.col("word"))).alias("reachable"))
+    return seeds.join(reached, "word")
+
+
 def seed_summary(
-    docs: DataFrame, lexicon: Lexicon, tokens: str = "tokens", low: bool = False, head: int = 3
+    docs: DataFrame,
+    lexicon: Lexicon,
+    tokens: str = "tokens",
+    low: bool = False,
+    head: int = 3,
+    analyzer: Analyzer = letter_runs,
 ) -> DataFrame:
     """Per seed: number of words, the first few, how many the tokenizer can yield, and how many
     reviews and words of the corpus match."""
-    seeds = seed_table(docs.sparkSession, lexicon, low)
+    seeds = reachable_seeds(docs.sparkSession, lexicon, low, analyzer)
     words = list(lexicon.seed_words())
     hits = (
         docs.select(F.explode(F.filter(F.array_distinct(tokens), lambda t: t.isin(words))).alias("word"))
@@ -72,9 +96,15 @@ def seed_vectors(
 
 
 def label_topics(centroids: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``(topic, seed_id, similarity)``: the seed closest to each topic's mean vector."""
-    return best_target(centroids, seeds, "seed_id", key="topic", vector="vec").withColumn(
-        "topic", F.col("topic").cast("int")
+    """``(topic, seed_id, similarity)``: the seed closest to each topic's mean vector.
+
+    Every topic has a row, also where all cosines are negative; without seeds, ``seed_id`` is -1.
+    """
+    found = best_target(centroids, seeds, "seed_id", key="topic", vector="vec", positive=False)
+    return centroids.select("topic").join(found, "topic", "left").select(
+        F.col("topic").cast("int").alias("topic"),
+        F.coalesce("seed_id", F.lit(-1)).alias("seed_id"),
+        "similarity",
     )
 
 

@@ -6,8 +6,9 @@ Each statement is put together from named parts; the parts a query needs become
 from __future__ import annotations
 
 from voxtally.functions.text import WHITESPACE
+from voxtally.operators.embed import FEATURES
 from voxtally.plans import registry as reg
-from voxtally.plans.views import LEXICON
+from voxtally.plans.views import DIMS, LEXICON
 from voxtally.sources.lexicons import NOISE_LABEL, TOPIC_PREFIX
 
 _SPACE = "".join(WHITESPACE)
@@ -105,6 +106,21 @@ def _tf(topics: str) -> str:
     SELECT topic, term, count(*) AS n FROM {topics} JOIN terms USING (review_id) GROUP BY topic, term"""
 
 
+def _hashed(tokens: str, docs: str, dims: int) -> str:
+    """Unit vectors of hashed TF-IDF weights; ``tokens`` has a word per row."""
+    return f"""
+    SELECT review_id, list(CAST(coalesce(w / nullif(norm, 0), 0) AS FLOAT) ORDER BY bucket) AS embedding
+    FROM (SELECT review_id, bucket FROM {docs}, (SELECT unnest(range({dims})) AS bucket))
+    LEFT JOIN (
+      SELECT review_id, bucket, n * idf AS w, sqrt(sum(n * idf * n * idf) OVER (PARTITION BY review_id)) AS norm
+      FROM (SELECT review_id, CAST(('0x' || substr(md5(word), 1, 4)) AS INTEGER) % {dims} AS bucket, count(*) AS n
+            FROM {tokens} GROUP BY ALL)
+      JOIN (SELECT bucket, ln(((SELECT count(*) FROM {docs}) + 1.0) / (count(*) + 1.0)) AS idf
+            FROM (SELECT DISTINCT review_id, CAST(('0x' || substr(md5(word), 1, 4)) AS INTEGER) % {dims} AS bucket
+                  FROM {tokens}) GROUP BY bucket) USING (bucket)
+    ) USING (review_id, bucket) GROUP BY review_id"""
+
+
 def _means(source: str, group: str) -> str:
     return f"""
     SELECT {group}, list(m ORDER BY i) AS vec FROM (
@@ -136,7 +152,8 @@ def _guided(docs: str, seed_vec: str) -> str:
       FROM (
         SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY sim DESC, seed_id) AS k FROM (
           SELECT review_id, embedding, t.seed_id, t.vec,
-                 list_cosine_similarity(CAST(embedding AS DOUBLE[]), t.vec) AS sim
+                 CASE WHEN list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0
+                      THEN list_cosine_similarity(CAST(embedding AS DOUBLE[]), t.vec) ELSE 0 END AS sim
           FROM {docs}, (
             SELECT seed_id, vec FROM {seed_vec} UNION ALL
             SELECT -1, vec FROM ({_means(f"(SELECT 0 AS one, embedding FROM {docs})", "one")})) t))
@@ -156,7 +173,8 @@ def _projected(source: str, key: str, vector: str) -> str:
 def _sims(docs: str, centroids: str) -> str:
     return f"""
     SELECT review_id, r.topic AS own, c.topic,
-           greatest(list_cosine_similarity(CAST(embedding AS DOUBLE[]), vec), 0) AS sim
+           CASE WHEN list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0
+                THEN greatest(list_cosine_similarity(CAST(embedding AS DOUBLE[]), vec), 0) ELSE 0 END AS sim
     FROM {docs} r, {centroids} c"""
 
 
@@ -249,18 +267,26 @@ PARTS = {
     "reviews": """
     SELECT doc_id AS review_id, source AS brand, CAST((doc_id // 20) % 6 AS INTEGER) AS rating,
            text AS content_clean FROM documents""",
+    # Reviews without a stored vector have one made from their text.
+    "lacking": "SELECT * FROM reviews WHERE review_id NOT IN (SELECT vec_id FROM embeddings)",
+    "lacking_words": """
+    SELECT review_id, unnest(regexp_extract_all(lower(content_clean), '[\\p{L}]{2,}')) AS word FROM lacking""",
+    "made": _hashed("lacking_words", "lacking", DIMS),
+    "all_vectors": "SELECT vec_id AS review_id, embedding FROM embeddings UNION ALL SELECT * FROM made",
     "reviews_topic": """
-    SELECT r.*, e.embedding, CASE WHEN e.label = 9 THEN -1 ELSE e.label END AS topic
-    FROM reviews r JOIN embeddings e ON r.review_id = e.vec_id""",
+    SELECT r.*, v.embedding, CASE WHEN coalesce(e.label, 9) = 9 THEN -1 ELSE e.label END AS topic
+    FROM reviews r LEFT JOIN embeddings e ON r.review_id = e.vec_id JOIN all_vectors v USING (review_id)""",
     "low_reviews": f"SELECT * FROM reviews WHERE {_LOW}",
     "dictionary": f"SELECT * FROM (VALUES {_values((w, i) for i, w in enumerate(LEXICON.user_dict))}) t(word, pos)",
-    "seeds": "SELECT * FROM (VALUES "
-    + _values(
-        (s, p, w, int(LEXICON.can_become_token(w)))
-        for s, words in enumerate(LEXICON.seeds)
-        for p, w in enumerate(words)
-    )
-    + ") t(seed_id, pos, word, reachable)",
+    "seeds": f"""
+    SELECT *, CAST(word IN ({_list(LEXICON.user_dict)}) OR EXISTS (
+      SELECT 1 FROM (SELECT s.word AS form UNION ALL SELECT k FROM (VALUES {_values(LEXICON.synonyms.items())}) y(k, v)
+                     WHERE v = s.word) f
+      WHERE regexp_full_match(form, '[\\p{{L}}]{{2,}}') AND form = lower(form)
+        AND form NOT IN ({_list(LEXICON.stop_words)})
+        AND (form <> s.word OR form NOT IN ({_list(LEXICON.synonyms)}))) AS INTEGER) AS reachable
+    FROM (VALUES {_values((s, p, w) for s, words in enumerate(LEXICON.seeds) for p, w in enumerate(words))})
+      s(seed_id, pos, word)""",
     "forms": _forms("reviews"),
     "tok": _tokens("reviews"),
     "low_tok": _tokens("low_reviews", low=True),
@@ -294,10 +320,9 @@ PARTS = {
     SELECT DISTINCT seed_id, review_id, embedding FROM seeds JOIN tok USING (word)
     JOIN reviews_topic USING (review_id)""",
     "seed_vec": _means("seed_docs", "seed_id"),
-    # The whole fit, on the rated reviews that have a vector.
+    # The whole fit, on the rated reviews.
     "f_docs": """
-    SELECT review_id, brand, embedding FROM reviews JOIN embeddings ON review_id = vec_id
-    WHERE rating > 0""",
+    SELECT review_id, brand, embedding FROM reviews JOIN all_vectors USING (review_id) WHERE rating > 0""",
     "f_seed_docs": """
     SELECT DISTINCT seed_id, review_id, embedding FROM seeds JOIN tok USING (word)
     JOIN f_docs USING (review_id)""",
@@ -315,7 +340,7 @@ PARTS = {
     "f_weights": _weights(
         "f_tf",
         "f_moved",
-        root="NOT EXISTS (SELECT 1 FROM f_moved WHERE topic <> old_topic)",
+        root="(SELECT avg(CASE WHEN old_topic = -1 THEN 1.0 ELSE 0.0 END) FROM f_moved) <= 0.4",
         seeded=True,
         min_df=1,
     ),
@@ -330,7 +355,11 @@ PARTS = {
 }
 
 NEEDS = {
-    "reviews_topic": ("reviews",),
+    "lacking": ("reviews",),
+    "lacking_words": ("lacking",),
+    "made": ("lacking_words", "lacking"),
+    "all_vectors": ("made", "reviews"),
+    "reviews_topic": ("reviews", "all_vectors"),
     "low_reviews": ("reviews",),
     "forms": ("reviews",),
     "tok": ("reviews", "dictionary", "forms"),
@@ -352,7 +381,7 @@ NEEDS = {
     **_density_needs("", "projected"),
     "seed_docs": ("seeds", "tok", "reviews_topic"),
     "seed_vec": ("seed_docs",),
-    "f_docs": ("reviews",),
+    "f_docs": ("reviews", "all_vectors"),
     "f_seed_docs": ("seeds", "tok", "f_docs"),
     "f_seed_vec": ("f_seed_docs",),
     "f_guided": ("f_docs", "f_seed_vec"),
@@ -421,9 +450,9 @@ def oracle_queries() -> dict[str, str]:
         "valid_reviews": _with(
             f"""SELECT review_id, brand, {_cleaned("content_clean")} AS content_clean,
               CAST(len(embedding) AS INTEGER) AS dims
-            FROM reviews JOIN embeddings ON review_id = vec_id
+            FROM reviews JOIN all_vectors USING (review_id)
             WHERE {_LOW} AND {_cleaned("content_clean")} <> ''""",
-            "reviews",
+            "all_vectors",
         ),
         "sample_per_brand": _with(
             f"""SELECT review_id, brand, rating FROM (
@@ -544,7 +573,7 @@ def oracle_queries() -> dict[str, str]:
             """SELECT topic, seed_id, round(sim, 4) AS similarity FROM (
               SELECT *, row_number() OVER (PARTITION BY topic ORDER BY sim DESC, seed_id) AS k FROM (
                 SELECT c.topic, s.seed_id, list_cosine_similarity(c.vec, s.vec) AS sim
-                FROM centroids c, seed_vec s)) WHERE k = 1 AND sim > 0""",
+                FROM centroids c, seed_vec s)) WHERE k = 1""",
             "centroids",
             "seed_vec",
         ),
@@ -561,6 +590,14 @@ def oracle_queries() -> dict[str, str]:
             FROM embeddings LEFT JOIN parts ON vec_id = review_id LEFT JOIN sizes USING (part)""",
             "sizes",
         ),
+        "hash_embed": _with(
+            f"""SELECT review_id, CAST(len(embedding) AS INTEGER) AS dims,
+              CAST(len(list_filter(embedding, lambda x: x <> 0)) AS INTEGER) AS nonzero,
+              round(CAST(list_max(embedding) AS DOUBLE), 4) AS peak
+            FROM ({_hashed("tok", "reviews", FEATURES)})""",
+            "tok",
+            "reviews",
+        ),
         "fit_topics": _with(
             "SELECT topic, count(*) AS n, any_value(topic_name) AS topic_name FROM f_labelled GROUP BY topic",
             "f_labelled",

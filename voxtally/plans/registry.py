@@ -19,7 +19,7 @@ from voxtally.operators import reduce as reducing
 from voxtally.operators import seeds as seeding
 from voxtally.plans.topics import TopicModel, TopicParams, compare_brands
 from voxtally.plans.topics import fit_topics as fit
-from voxtally.plans.views import LEXICON, reviews, reviews_topic, vectors
+from voxtally.plans.views import LEXICON, reviews, reviews_topic, vectors, with_vectors
 from voxtally.session import materialize, new_folder
 from voxtally.sources.lexicons import NOISE_LABEL
 from voxtally.sources.reviews import read_csv, stack_scopes, write_csv
@@ -49,7 +49,7 @@ def valid_reviews(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = low.withColumn(
         "content_clean", clean_text("content_clean", LEXICON.clean_patterns)
     )
-    return ingest.with_text(cleaned.join(vectors(spark, folder), "review_id")).select(
+    return with_vectors(spark, folder, ingest.with_text(cleaned)).select(
         "review_id", "brand", "content_clean", F.size("embedding").alias("dims")
     )
 
@@ -60,7 +60,7 @@ def sample_per_brand(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clean_review_text(spark: SparkSession, folder: str) -> DataFrame:
-    return reviews(spark, folder, heavy=True).select(
+    return reviews(spark, folder).select(
         "review_id", clean_text("content_clean", LEXICON.clean_patterns).alias("content_clean")
     )
 
@@ -90,11 +90,11 @@ def dictionary_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 def dictionary_matches_table(spark: SparkSession, folder: str) -> DataFrame:
     words = spark.createDataFrame([(w,) for w in LEXICON.user_dict], "word string")
-    return dictionary_matches_join(reviews(spark, folder, heavy=True), words)
+    return dictionary_matches_join(reviews(spark, folder), words)
 
 
 def normalize_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    forms = reviews(spark, folder, heavy=True).withColumn("forms", letter_runs(F.col("content_clean")))
+    forms = reviews(spark, folder).withColumn("forms", letter_runs(F.col("content_clean")))
     return forms.select(
         "review_id",
         F.array_join(normalize(F.col("forms"), LEXICON.synonyms), " ").alias("tokens"),
@@ -109,29 +109,29 @@ def _token_rows(df: DataFrame) -> DataFrame:
 
 
 def tokenize_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return _token_rows(_tokens(reviews(spark, folder, heavy=True)))
+    return _token_rows(_tokens(reviews(spark, folder)))
 
 
 def tokenize_low_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return _token_rows(_tokens(ingest.low_rated(reviews(spark, folder, heavy=True)), low=True))
+    return _token_rows(_tokens(ingest.low_rated(reviews(spark, folder)), low=True))
 
 
 def review_ngrams(spark: SparkSession, folder: str) -> DataFrame:
-    grams = _tokens(reviews(spark, folder, heavy=True)).select("review_id", ngrams("tokens").alias("grams"))
+    grams = _tokens(reviews(spark, folder)).select("review_id", ngrams("tokens").alias("grams"))
     return grams.select(
         "review_id", F.array_join("grams", "|").alias("terms"), F.size("grams").alias("n_terms")
     )
 
 
 def seed_topic_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return seeding.seed_summary(_tokens(reviews(spark, folder, heavy=True)), LEXICON)
+    return seeding.seed_summary(_tokens(reviews(spark, folder)), LEXICON)
 
 
 # --- keywords -----------------------------------------------------------------------------------
 
 
-def _topic_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return _tokens(reviews_topic(spark, folder, heavy=True))
+def _topic_tokens(spark: SparkSession, folder: str, embed: bool = False) -> DataFrame:
+    return _tokens(reviews_topic(spark, folder, embed))
 
 
 def _weights(spark: SparkSession, folder: str, **options) -> DataFrame:
@@ -164,7 +164,7 @@ def topic_keywords(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def refresh_topic_keywords(spark: SparkSession, folder: str) -> DataFrame:
-    moved = soft.reassign_outliers(_topic_tokens(spark, folder), TRIGGER)
+    moved = soft.reassign_outliers(_topic_tokens(spark, folder, embed=True), TRIGGER)
     weights = keywords.refresh_keywords(
         moved, tf_mode="count", min_df=MIN_DF, seed_words=LEXICON.seed_words()
     )
@@ -272,13 +272,13 @@ def kmeans_topics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def topic_membership(spark: SparkSession, folder: str) -> DataFrame:
-    docs = reviews_topic(spark, folder).select("review_id", "topic", "embedding")
+    docs = reviews_topic(spark, folder, embed=True).select("review_id", "topic", "embedding")
     centroids = materialize(soft.topic_centroids(docs), "centroids")
     return soft.membership(docs, centroids).withColumn("prob", F.round("prob", 4))
 
 
 def reassign_outliers(spark: SparkSession, folder: str) -> DataFrame:
-    docs = reviews_topic(spark, folder).select("review_id", "brand", "topic", "embedding")
+    docs = reviews_topic(spark, folder, embed=True).select("review_id", "brand", "topic", "embedding")
     moved = soft.reassign_outliers(docs, TRIGGER)
     return moved.select("review_id", "brand", "old_topic", "topic")
 
@@ -288,14 +288,14 @@ def _seed_vectors(docs: DataFrame) -> DataFrame:
 
 
 def seed_label_topics(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _topic_tokens(spark, folder).select("review_id", "topic", "tokens", "embedding")
+    docs = _topic_tokens(spark, folder, embed=True).select("review_id", "topic", "tokens", "embedding")
     centroids = materialize(soft.topic_centroids(docs), "centroids")
     labels = seeding.label_topics(centroids, _seed_vectors(docs))
     return labels.withColumn("similarity", F.round("similarity", 4))
 
 
 def seed_guided_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _topic_tokens(spark, folder).select("review_id", "tokens", "embedding")
+    docs = _topic_tokens(spark, folder, embed=True).select("review_id", "tokens", "embedding")
     guided = seeding.guide_vectors(docs, _seed_vectors(docs), output="guided")
     parts = [F.round(F.get("guided", F.lit(i)), 4).alias(f"g{i}") for i in range(4)]
     length = F.sqrt(F.aggregate("guided", F.lit(0.0), lambda a, x: a + x * x))
@@ -303,13 +303,16 @@ def seed_guided_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hash_embed(spark: SparkSession, folder: str) -> DataFrame:
-    docs = embed_by_hash(_tokens(reviews(spark, folder, heavy=True)).select("review_id", "tokens"))
+    docs = embed_by_hash(_tokens(reviews(spark, folder)).select("review_id", "tokens"))
     nonzero = F.size(F.filter("embedding", lambda x: x != 0))
-    return docs.select("review_id", F.size("embedding").alias("dims"), nonzero.alias("nonzero"))
+    peak = F.round(F.array_max("embedding").cast("double"), 4)
+    return docs.select(
+        "review_id", F.size("embedding").alias("dims"), nonzero.alias("nonzero"), peak.alias("peak")
+    )
 
 
 def _fitted(spark: SparkSession, folder: str) -> TopicModel:
-    docs = ingest.rated(reviews(spark, folder, heavy=True)).join(vectors(spark, folder), "review_id")
+    docs = with_vectors(spark, folder, ingest.rated(reviews(spark, folder)))
     params = TopicParams(**CLUSTER, min_df=1, tf_mode="count", reducer=reducing.reduce_random)
     return fit(docs, LEXICON, params)
 

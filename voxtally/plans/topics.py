@@ -121,8 +121,9 @@ def fit_topics(docs: DataFrame, lexicon: Lexicon, params: TopicParams = ALL_REVI
         reassign_outliers(first, params.outlier_threshold, centroids).drop("embedding"),
         "final-topics",
     )
-    moved = not final.where(F.col("topic") != F.col("old_topic")).isEmpty()
-    describe = keywords.refresh_keywords if moved else keywords.class_tfidf
+    # Keywords are made anew whenever the share asks for it, whether or not a review then moved.
+    share = first.agg(F.avg((F.col("topic") == -1).cast("double"))).first()[0] or 0.0
+    describe = keywords.refresh_keywords if share > params.outlier_threshold else keywords.class_tfidf
     weights = describe(
         final,
         tf_mode=params.tf_mode,

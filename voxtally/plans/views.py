@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxtally.functions.text import letter_runs, text_of
+from voxtally.operators.embed import hash_embed
 from voxtally.sources.lexicons import BOILERPLATE, Lexicon
-from voxtally.sources.reviews import fill_slots
+
+DIMS = 64  # of the stored vectors, and so of those made from texts
 
 SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
@@ -27,12 +30,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def reviews(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
+def reviews(spark: SparkSession, folder: str) -> DataFrame:
     """``(review_id, brand, rating, content_clean)`` out of the documents."""
-    documents = table(spark, folder, "documents").select("doc_id", "source", "text")
-    if heavy:
-        documents = fill_slots(documents, "doc_id")
-    return documents.select(
+    return table(spark, folder, "documents").select(
         F.col("doc_id").alias("review_id"),
         F.col("source").alias("brand"),
         F.expr("cast((doc_id div 20) % 6 AS int)").alias("rating"),
@@ -41,15 +41,32 @@ def reviews(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """``(review_id, embedding)``."""
+    """``(review_id, embedding)`` of the stored vectors."""
     return table(spark, folder, "embeddings").select(F.col("vec_id").alias("review_id"), "embedding")
 
 
-def reviews_topic(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
-    """Reviews with a vector and the topic that the vector's label stands for; label 9 is noise."""
+def with_vectors(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
+    """``docs`` with ``embedding``: the stored vector of a review, else one made from its text."""
+    stored = vectors(spark, folder)
+    lacking = reviews(spark, folder).select("review_id", "content_clean").join(stored, "review_id", "left_anti")
+    made = hash_embed(
+        lacking.select("review_id", letter_runs(text_of("content_clean")).alias("tokens")), features=DIMS
+    )
+    return docs.join(stored.unionByName(made.select("review_id", "embedding")), "review_id")
+
+
+def reviews_topic(spark: SparkSession, folder: str, embed: bool = False) -> DataFrame:
+    """All reviews with the topic that the stored vector's label stands for.
+
+    Label 9 is noise, and so is a review without a stored vector. ``embed`` adds ``embedding``.
+    """
     labelled = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("review_id"),
-        "embedding",
         F.when(F.col("label") == 9, F.lit(-1)).otherwise(F.col("label")).alias("topic"),
     )
-    return reviews(spark, folder, heavy).join(labelled, "review_id")
+    docs = (
+        reviews(spark, folder)
+        .join(labelled, "review_id", "left")
+        .withColumn("topic", F.coalesce("topic", F.lit(-1)))
+    )
+    return with_vectors(spark, folder, docs) if embed else docs

@@ -129,19 +129,12 @@ class Lexicon:
     def seed_words(self) -> tuple[str, ...]:
         return tuple(dict.fromkeys(w for group in self.seeds for w in group))
 
-    def can_become_token(self, word: str, low: bool = False) -> bool:
-        """Whether the tokenizer can ever yield ``word``."""
-        if low and word in self.neg_stopwords:
-            return False
-        plain = len(word) > 1 and word not in self.stop_words and word not in self.synonyms
-        mapped = any(
-            v == word and len(k) > 1 and k not in self.stop_words for k, v in self.synonyms.items()
-        )
-        return plain or mapped or word in self.user_dict
 
+def korean_lexicon(user_dict: Sequence[str], low: bool = False) -> Lexicon:
+    """The Korean lists with the caller's domain dictionary, for one of the two scopes.
 
-def korean_lexicon(user_dict: Sequence[str] = (), low: bool = False) -> Lexicon:
-    """The Korean lists with the caller's domain dictionary, for one of the two scopes."""
+    The dictionary has no default: without it nothing is matched and coverage is zero.
+    """
     base = Lexicon(
         user_dict=user_dict,
         stop_words=KOREAN_STOP_WORDS,
@@ -172,11 +165,11 @@ def word_table(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def seed_table(spark: SparkSession, lexicon: Lexicon, low: bool = False) -> DataFrame:
-    """``(seed_id, pos, word, reachable)``: the seed topics, ids by position."""
+def seed_table(spark: SparkSession, lexicon: Lexicon) -> DataFrame:
+    """``(seed_id, pos, word)``: the seed topics, ids by position."""
     rows = [
-        (seed_id, pos, word, lexicon.can_become_token(word, low))
+        (seed_id, pos, word)
         for seed_id, group in enumerate(lexicon.seeds)
         for pos, word in enumerate(group)
     ]
-    return spark.createDataFrame(rows, "seed_id int, pos int, word string, reachable boolean")
+    return spark.createDataFrame(rows, "seed_id int, pos int, word string")

@@ -26,15 +26,6 @@ def read_reviews(spark: SparkSession, path: str, schema: T.StructType | None = N
     return reader.parquet(path)
 
 
-def fill_slots(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan that would leave task slots idle, before heavy work on its rows.
-
-    A table with at least as many scan partitions as the cluster has slots is left as it is.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
-
-
 def attach_vectors(
     reviews: DataFrame, vectors: DataFrame, key: str = "review_id", vector: str = "embedding"
 ) -> DataFrame:

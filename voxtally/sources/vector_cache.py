@@ -83,7 +83,13 @@ def vectors_for(
     spark = reviews.sparkSession
     misses = cache_misses(reviews, read_cache(spark, path), model_id, text)
     append_vectors(encode(misses, encoder), model_id, path)
-    cached = read_cache(spark, path).where(F.col("model_id") == model_id)
+    # Two fills that overlap may both have stored a text; one vector of each is enough.
+    cached = (
+        read_cache(spark, path)
+        .where(F.col("model_id") == model_id)
+        .groupBy("text_hash")
+        .agg(F.first("embedding").alias("embedding"))
+    )
     hashed = reviews.withColumn("text_hash", text_key(text))
     return skew_join(
         hashed, cached.select("text_hash", "embedding"), ["text_hash"], by=[key]
