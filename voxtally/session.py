@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +70,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_open_scratches: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the work folder and read it back.
 
@@ -76,4 +81,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _open_scratches:
+        _open_scratches[-1].append(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.__dict__["_folder"] = path
+    return table
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables that :func:`materialize` writes inside, once the block ends.
+
+    The block gets a function that marks a table as still needed; a table that an enclosing block
+    marks is kept by it in turn.
+    """
+    written: list[str] = []
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.__dict__["_folder"])
+        return table
+
+    _open_scratches.append(written)
+    try:
+        yield keep
+    finally:
+        _open_scratches.remove(written)
+        if _open_scratches:
+            _open_scratches[-1].extend(p for p in written if p in kept)
+        for path in written:
+            if path not in kept:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
