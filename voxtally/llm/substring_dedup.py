@@ -17,16 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxtally.llm.batches import RollingHash, binary, mix, slices
+from voxtally.llm.linking import small
 from voxtally.llm.tables import table
-from voxtally.operators.skew import fits_broadcast
 from voxtally.session import materialize
 
 LENGTH = 400
 UNIT = 8  # bytes that are hashed to choose samples
+BROADCAST_BYTES = 32 << 20  # most that a table of lists may measure to be broadcast
 BLOCK = 1 << 20  # bytes of a text that are worked on at once
 
 
@@ -209,7 +210,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
         F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
     ).select("doc_id", "text", F.xxhash64("text", F.octet_length("text")).alias("text_id"))
     long = source.where(F.octet_length("text") >= length)
-    suffixes = materialize(long.select("text_id", "text").mapInArrow(_sample(length), _SUFFIXES), "suffixes")
+    # Sampled and merged suffixes are worked out twice rather than written: they would take more
+    # room than the texts, and working them out again takes less time than reading the texts.
+    suffixes = long.select("text_id", "text").mapInArrow(_sample(length), _SUFFIXES)
 
     # An occurrence is a text and a place in it; copies of a text that several tasks saw are one.
     place = F.xxhash64("text_id", "low")
@@ -244,12 +247,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
         .agg(F.collect_list(F.struct("name", "row.low", "row.high")).alias("rows")),
         "wanted",
     )
-    texts = _with(source.where(F.octet_length("text") >= length), wanted, "inner")
-    merged = materialize(
-        texts.select("text_id", "text", "rows").mapInArrow(
-            _merge(length), "text_id bigint, name bigint, string bigint, start bigint"
-        ),
-        "merged",
+    texts = _with(long, wanted, "rows", "inner")
+    merged = texts.select("text_id", "text", "rows").mapInArrow(
+        _merge(length), "text_id bigint, name bigint, string bigint, start bigint"
     )
     place = F.xxhash64("text_id", "start")
     equal = (
@@ -260,20 +260,45 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
             "text_id", "start", (F.col("start") + length).alias("end")
         )
     )
-    by_text = spans.distinct().groupBy("text_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    copies = source.groupBy("text_id").agg(F.count("*").alias("copies"))
-    by_text = copies.where("copies > 1").join(by_text, "text_id", "full")
+    copies = source.groupBy("text_id").agg(F.count("*").alias("copies")).where("copies > 1")
+    by_text = materialize(copies.join(_merged_spans(spans), "text_id", "full"), "by-text")
     return (
-        _with(source, materialize(by_text, "by-text"), "left")
+        _with(source, by_text, "spans", "left")
         .select("doc_id", "text", "copies", "spans")
         .mapInArrow(_cut_out(length), _RESULT)
     )
 
 
-def _with(rows: DataFrame, by_text: DataFrame, how: str) -> DataFrame:
-    """Join a written table by ``text_id``: broadcast while its checked size allows."""
-    right = F.broadcast(by_text) if fits_broadcast(by_text, row_bytes=1024) else by_text
-    return rows.join(right, "text_id", how)
+def _merged_spans(spans: DataFrame) -> DataFrame:
+    """``(text_id, spans)``: overlapping and touching spans of a text made one."""
+    ordered = Window.partitionBy("text_id").orderBy("start", "end")
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.when(F.col("start") <= F.max("end").over(before), 0).otherwise(1)
+    island = F.sum("fresh").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (
+        spans.withColumn("fresh", fresh)
+        .withColumn("island", island)
+        .groupBy("text_id", "island")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        .groupBy("text_id")
+        .agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    )
+
+
+def _with(rows: DataFrame, by_text: DataFrame, lists: str, how: str) -> DataFrame:
+    """Join a written table with a column of lists by ``text_id``.
+
+    It is broadcast while its measured size allows. Beyond that, rows that it has nothing for go
+    past the join, by the narrow table of its ids where that is small, and only the others move.
+    """
+    size = by_text.agg(F.count("*").alias("n"), F.sum(F.size(lists)).alias("items")).first()
+    if size["n"] * 64 + max(size["items"] or 0, 0) * 48 <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(by_text), "text_id", how)
+    ids = small(by_text.select("text_id"))
+    moved = rows.join(ids, "text_id", "left_semi").join(by_text, "text_id", "inner")
+    if how == "inner":
+        return moved
+    return moved.unionByName(rows.join(ids, "text_id", "left_anti"), allowMissingColumns=True)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
