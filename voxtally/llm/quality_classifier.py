@@ -24,6 +24,7 @@ BLOCK = 512  # chunks worked on at once, which bounds memory for texts of any le
 TRAIN_DOCS = 4_000
 TRAIN_CHUNKS = 12
 EPOCHS = 8
+LEAST_STEPS = 400  # small samples are gone over more often
 
 
 def chunk_starts(size: int) -> np.ndarray:
@@ -120,7 +121,9 @@ def train(samples: list[tuple[bytes, int]], epochs: int = EPOCHS, batch: int = 3
     rng = np.random.default_rng(9)
     net = Network.fresh(rng)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
-    step, steps = 0, max(1, epochs * -(-len(samples) // batch))
+    per_epoch = -(-len(samples) // batch)
+    epochs = max(epochs, -(-LEAST_STEPS // per_epoch)) if samples else 0
+    step, steps = 0, epochs * per_epoch
     matrices = [unpack_chunks(blob) for blob, _ in samples]
     labels = np.array([label for _, label in samples], dtype=np.float32)
     for _ in range(epochs):
