@@ -11,6 +11,7 @@ from voxtally.session import materialize
 BLOCK = 64  # turn numbers that one window numbers together
 
 _LOW = 0xFFFFFFFF
+_LAST = (1 << 63) - 1
 
 
 def place_turns(
@@ -29,31 +30,35 @@ def place_turns(
     conversation with a large share of all turns is dealt out over many tasks.
     """
     rows = turns.select(
-        F.col(conversation).alias("conv_id"),
+        F.struct(F.col(conversation).alias("conv_id")).alias("conv"),
+        # Turns without a number form the last block.
+        F.coalesce(F.floor(F.col(turn) / block), F.lit(_LAST)).alias("block"),
         F.col(turn).alias("turn"),
         F.coalesce(F.col(role), F.lit("")).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
-    ).distinct()
-    rows = rows.withColumn("block", F.floor(F.col("turn") / block))
-    inside = Window.partitionBy("conv_id", "block").orderBy(
-        F.col("turn").asc_nulls_last(), "role", "text"
-    )
-    before = (
-        Window.partitionBy("conv_id")
-        .orderBy(F.col("block").asc_nulls_last())
-        .rowsBetween(Window.unboundedPreceding, -1)
     )
+    # Dealt out once by conversation and block, which the steps below all go by.
+    rows = rows.repartition("conv", "block").dropDuplicates()
+    inside = Window.partitionBy("conv", "block").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
+    before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        rows.groupBy("conv_id", "block")
+        turns.select(
+            F.struct(F.col(conversation).alias("conv_id")).alias("conv"),
+            F.coalesce(F.floor(F.col(turn) / block), F.lit(_LAST)).alias("block"),
+            F.xxhash64(
+                F.col(turn).isNull(), F.col(turn), F.coalesce(F.col(role), F.lit("")), F.coalesce(F.col(text), F.lit(""))
+            ).alias("row"),
+        )
+        .distinct()
+        .groupBy("conv", "block")
         .agg(F.count("*").alias("n"))
-        .select("conv_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        .select("conv", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    )
+    return (
+        rows.withColumn("row", F.row_number().over(inside))
+        .join(starts, ["conv", "block"])
+        .select("conv.conv_id", (F.col("row") + F.col("start")).alias("at"), "role", "text")
     )
-    numbered = rows.withColumn("row", F.row_number().over(inside)).alias("r")
-    return numbered.join(
-        starts.alias("s"),
-        F.col("r.conv_id").eqNullSafe(F.col("s.conv_id"))
-        & F.col("r.block").eqNullSafe(F.col("s.block")),
-    ).select("r.conv_id", (F.col("row") + F.col("start")).alias("at"), "role", "text")
 
 
 def _limbs(at: str | Column) -> list[Column]:
