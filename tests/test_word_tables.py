@@ -1,0 +1,78 @@
+"""Word lists past the inline bound against the inline form of the words that matter."""
+
+from dataclasses import replace
+
+import pytest
+from voxtally.functions.text import tagged_analyzer, tokenize
+from voxtally.operators.dictionary import dictionary_matches, keyword_coverage
+from voxtally.sources.lexicons import INLINE_WORDS, Lexicon, read_long_words
+
+TEXTS = [
+    "y of is la le and THE other", "was the other", "the and the", "", None, "  　", "zzz", "one 사이즈 한사이즈업 추천",
+    "of of to", "is is y la LA le\nthe", "the and the", "that token with", "😀 가😀 and", "boom the",
+]
+SHORT = Lexicon(
+    user_dict=("the", "and", "zzz", "he", "사이즈", "한사이즈업", "가😀", "that", "with"),
+    stop_words=("of", "and", "to"),
+    neg_stopwords=("the", "was", "that"),
+    synonyms={"is": "of", "la": "le", "y": "and", "other": "another"},
+)
+FILL = [f"qx{i}q" for i in range(INLINE_WORDS + 1)]  # in no text
+LONG = {
+    "user_dict": replace(SHORT, user_dict=(*SHORT.user_dict, *FILL)),
+    "stop_words": replace(SHORT, stop_words=(*SHORT.stop_words, *FILL)),
+    "neg_stopwords": replace(SHORT, neg_stopwords=(*FILL, *SHORT.neg_stopwords)),
+    "synonyms": replace(SHORT, synonyms={**SHORT.synonyms, **{w: "x" for w in FILL}}),
+    "no_dictionary": replace(SHORT, user_dict=(), stop_words=(*SHORT.stop_words, *FILL)),
+}
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    rows = [(i // 2, t, [float(i)]) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "review_id int, content_clean string, embedding array<double>").coalesce(2)
+
+
+def rows(df):
+    return df.columns, sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("options", [{}, {"low": True, "longest_only": True}, {"strict_stops": True, "low": True}])
+@pytest.mark.parametrize("name", LONG)
+def test_tokens_by_tables(texts, name, options):
+    short = replace(SHORT, user_dict=()) if name == "no_dictionary" else SHORT
+    assert not LONG[name].fits_inline()
+    assert rows(tokenize(texts, LONG[name], **options)) == rows(tokenize(texts, short, **options))
+
+
+def test_failed_texts_have_no_tokens(texts):
+    def analyse(text):
+        if "boom" in text:
+            raise RuntimeError
+        return [(word, "NNG") for word in text.split()]
+
+    found = [rows(tokenize(texts, x, analyzer=tagged_analyzer(analyse))) for x in (LONG["user_dict"], SHORT)]
+    assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("longest", [False, True])
+@pytest.mark.parametrize("words", [SHORT.user_dict, ("", "the")])
+def test_matches_by_tables(texts, words, longest):
+    short = replace(SHORT, user_dict=words)
+    long = replace(short, user_dict=(*words, *FILL))
+    found = [rows(dictionary_matches(texts, x, longest_only=longest)) for x in (long, short)]
+    assert found[0] == found[1]
+
+
+def test_coverage_and_files(spark, tmp_path):
+    terms = [(0, 1, "the"), (0, 2, "none"), (1, 1, "the"), (1, 11, "and"), (-1, 1, "and"), (1, 2, None)]
+    terms = spark.createDataFrame(terms, "topic int, rank int, term string")
+    path = tmp_path / "words.txt"
+    path.write_text("\n".join([*SHORT.user_dict, "", "the", *FILL]), encoding="utf-8")
+    words = read_long_words(spark, str(path))
+    assert words == (*SHORT.user_dict, *FILL)
+    long = keyword_coverage(terms, Lexicon(user_dict=words), "all")
+    assert rows(long) == rows(keyword_coverage(terms, SHORT, "all"))
+    assert long.first().matched == 2
+    nothing = keyword_coverage(terms.limit(0), Lexicon(user_dict=words))
+    assert tuple(nothing.first()) == ("", 0, 0, 0.0)

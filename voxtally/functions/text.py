@@ -1,7 +1,7 @@
 """Text as column expressions: cleaning, tokens, dictionary hits, n-grams.
 
 Everything here stays in the JVM and is narrow: no shuffle, no Python worker, unless the caller
-plugs in an analyzer of their own.
+plugs in an analyzer of their own or word lists too long to inline.
 """
 
 from __future__ import annotations
@@ -133,8 +133,15 @@ def tokenize(
     occurrence stays. Dictionary words found as substrings come first and are not stop-filtered.
     ``low`` also drops the extra stop words of the low-rating scope, dictionary words included.
     ``strict_stops`` applies the stop words once more after the synonyms.
+
+    Lists past the inline bound are joined as tables, with the same rows as result; that form works
+    out the tokens at once and writes them.
     """
-    lexicon.check_inline()
+    if not lexicon.fits_inline():
+        # Imported late: the operators are built on this module.
+        from voxtally.operators.word_tables import tokenize_join
+
+        return tokenize_join(df, lexicon, text, output, low, analyzer, strict_stops, longest_only)
     forms = F.filter(analyzer(text_of(text)), lambda t: F.length(t) > 1)
     rest = normalize(without(forms, lexicon.stop_words), lexicon.synonyms)
     if strict_stops:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtally.functions.text import dictionary_hits, text_of
-from voxtally.operators.skew import skew_join
+from voxtally.operators.skew import lookup_join, skew_join
+from voxtally.operators.word_tables import cut_words, longest_matches, written_words
 from voxtally.sources.lexicons import Lexicon
 
 
@@ -17,8 +18,12 @@ def dictionary_matches(
     key: str = "review_id",
     longest_only: bool = False,
 ) -> DataFrame:
-    """``(key, word)`` for every dictionary word that is a substring of the text. Narrow."""
-    lexicon.check_inline()
+    """``(key, word)`` for every dictionary word that is a substring of the text. Narrow, but for
+    a lexicon past the inline bound, which is joined as a table."""
+    if not lexicon.fits_inline():
+        if longest_only:
+            return longest_matches(df, lexicon, text, key)
+        return dictionary_matches_join(df, written_words(df.sparkSession, lexicon.user_dict), text, key)
     hits = dictionary_hits(text_of(text), lexicon.user_dict, longest_only)
     return df.select(key, F.explode(hits).alias("word"))
 
@@ -31,16 +36,7 @@ def dictionary_matches_join(
     The texts are cut into the substrings whose length some word has; these meet the words in an
     equi-join, so no text is compared with every word.
     """
-    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect() if r[0])
-    body = text_of(text)
-
-    def cuts(n: int) -> Column:
-        # A look-ahead matches at every position, so the pieces overlap.
-        return F.regexp_extract_all(body, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-
-    if not lengths:
-        return df.select(key, F.lit("").alias("word")).limit(0)
-    pieces = F.array_distinct(F.concat(*[cuts(n) for n in lengths]))
+    pieces = cut_words(text_of(text), words)
     found = df.select(key, F.explode(pieces).alias("word"))
     known = words.select("word").distinct()
     return skew_join(found, known, ["word"], by=[key]).select(key, "word")
@@ -53,11 +49,16 @@ def keyword_coverage(
 
     ``(label, matched, total, coverage)``; the coverage is 0 when there are no keywords.
     """
-    lexicon.check_inline()
-    known = F.col("term").isin(list(lexicon.user_dict)) if lexicon.user_dict else F.lit(False)
+    first = terms.where((F.col("topic") != -1) & (F.col("rank") <= top_n))
+    if not lexicon.fits_inline():
+        words = written_words(terms.sparkSession, lexicon.user_dict)
+        flags = words.select(F.col("word").alias("term"), F.lit(True).alias("_known"))
+        first = lookup_join(first, flags, ["term"], by=["topic", "rank"], how="left")
+        known = F.coalesce("_known", F.lit(False))
+    else:
+        known = F.col("term").isin(list(lexicon.user_dict)) if lexicon.user_dict else F.lit(False)
     return (
-        terms.where((F.col("topic") != -1) & (F.col("rank") <= top_n))
-        .agg(
+        first.agg(
             F.coalesce(F.sum(known.cast("long")), F.lit(0)).alias("matched"),
             F.count("*").alias("total"),
         )

@@ -1,0 +1,123 @@
+"""Tokens and dictionary hits by joins with word tables, for lists too long to inline.
+
+Tokens depend on the text alone, so they are worked out once for each distinct text and joined back.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxtally.functions.text import Analyzer, is_blank, letter_runs, text_of
+from voxtally.operators.skew import lookup_join
+from voxtally.session import materialize, scratch
+from voxtally.sources.lexicons import Lexicon
+
+EMPTY = "array<string>"
+
+
+def written_words(spark: SparkSession, words: Sequence[str]) -> DataFrame:
+    """``(pos, word)``: a word list as a written table, in its order."""
+    return materialize(spark.createDataFrame(list(enumerate(words)), "pos int, word string"), "words")
+
+
+def cut_words(body: Column, words: DataFrame) -> Column:
+    """The distinct substrings of the text that are as long as some word (column ``word``)."""
+    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect() if r[0] is not None)
+
+    def cuts(n: int) -> Column:
+        if n == 0:
+            return F.array(F.lit(""))
+        # A look-ahead matches at every position, so the pieces overlap.
+        return F.regexp_extract_all(body, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+    return F.array_distinct(F.concat(F.array().cast(EMPTY), *[cuts(n) for n in lengths]))
+
+
+def _text_key(text: str) -> Column:
+    return F.sha2(text_of(text), 256)
+
+
+def _distinct_texts(df: DataFrame, text: str) -> DataFrame:
+    return df.select(_text_key(text).alias("_key"), text_of(text).alias("_text")).dropDuplicates(["_key"])
+
+
+def _hits(texts: DataFrame, lexicon: Lexicon, longest_only: bool) -> DataFrame:
+    """``(_key, hits)``: the dictionary words in each text that has any, in dictionary order."""
+    words = written_words(texts.sparkSession, lexicon.user_dict)
+    pieces = texts.select("_key", F.explode(cut_words(F.col("_text"), words)).alias("word"))
+    found = lookup_join(pieces, words, ["word"], by=["_key"])
+    found = found.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("pos", "word")))["word"].alias("hits"))
+    if longest_only:
+        longest = "filter(hits, w -> NOT exists(hits, o -> o <> w AND contains(o, w)))"
+        found = found.withColumn("hits", F.expr(longest))
+    return found
+
+
+def _join_back(df: DataFrame, by_text: DataFrame, text: str) -> DataFrame:
+    """Join a written table with one row per ``_key``; equal texts may be many, so they are split."""
+    plain = [f.name for f in df.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    keyed = df.withColumn("_key", _text_key(text))
+    return lookup_join(keyed, by_text, ["_key"], by=plain, row_bytes=1024).drop("_key")
+
+
+def longest_matches(df: DataFrame, lexicon: Lexicon, text: str, key: str) -> DataFrame:
+    """``(key, word)`` of the dictionary words in each text that are in no other hit."""
+    with scratch(df.sparkSession) as keep:
+        hits = keep(materialize(_hits(_distinct_texts(df, text), lexicon, True), "hits"))
+    return _join_back(df.select(key, text), hits, text).select(key, F.explode("hits").alias("word"))
+
+
+def tokenize_join(
+    df: DataFrame,
+    lexicon: Lexicon,
+    text: str = "content_clean",
+    output: str = "tokens",
+    low: bool = False,
+    analyzer: Analyzer = letter_runs,
+    strict_stops: bool = False,
+    longest_only: bool = False,
+) -> DataFrame:
+    """The rows of :func:`voxtally.functions.text.tokenize` for lists of any length."""
+    spark = df.sparkSession
+    neg = set(lexicon.neg_stopwords) if low else set()
+    stop, forms = set(lexicon.stop_words), dict(lexicon.synonyms)
+    listed = dict.fromkeys([*lexicon.stop_words, *lexicon.neg_stopwords, *forms])
+    rows = [(w, w in stop, w in neg, forms.get(w)) for w in listed]
+    schema = "word string, stop boolean, neg boolean, norm string"
+    with scratch(spark) as keep:
+        table = materialize(spark.createDataFrame(rows, schema), "rules")
+
+        def ruled(tokens: DataFrame) -> DataFrame:
+            joined = lookup_join(tokens, table, ["word"], by=["_key"], how="left")
+            return joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("stop", "neg")})
+
+        texts = _distinct_texts(df, text)
+        texts = texts.withColumn("forms", F.filter(analyzer(F.col("_text")), lambda t: F.length(t) > 1))
+        texts = materialize(texts, "texts")
+        raw = texts.select("_key", F.posexplode("forms").alias("at", "word"))
+        rest = ruled(raw).where("NOT stop").select("_key", "at", F.coalesce("norm", "word").alias("word"))
+        rest = materialize(rest.groupBy("_key", "word").agg(F.min("at").alias("at")), "rest")
+        if strict_stops or low:
+            rest = ruled(rest).where("NOT neg AND NOT stop" if strict_stops else "NOT neg")
+        rest = rest.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("at", "word")))["word"].alias("rest"))
+        found = texts.select("_key", "_text", "forms").join(rest, "_key", "left")
+        if lexicon.user_dict:
+            hits = _hits(texts, lexicon, longest_only)
+            if low:
+                hits = ruled(hits.select("_key", F.posexplode("hits").alias("at", "word"))).where("NOT neg")
+                hits = hits.groupBy("_key").agg(
+                    F.array_sort(F.collect_list(F.struct("at", "word")))["word"].alias("hits")
+                )
+            found = found.join(hits, "_key", "left")
+        else:
+            found = found.withColumn("hits", F.array().cast(EMPTY))
+        empty = F.array().cast(EMPTY)
+        own, listed_hits = F.coalesce("rest", empty), F.coalesce("hits", empty)
+        tokens = F.when(is_blank(F.col("_text")) | F.col("forms").isNull(), empty).otherwise(
+            F.concat(F.array_except(listed_hits, own), own)
+        )
+        by_text = keep(materialize(found.select("_key", tokens.alias("_tokens")), "tokens"))
+    return _join_back(df, by_text, text).withColumn(output, F.col("_tokens")).drop("_tokens")

@@ -1,6 +1,6 @@
 """Word lists that steer tokenizing and topic naming.
 
-The domain dictionary is a parameter: read it with :func:`read_words` from a file with one word per
+The domain dictionary is a parameter: read it with :func:`read_long_words` from a file with one word per
 line. The shorter Korean lists of the review domain are fixed values and stand below.
 """
 
@@ -11,7 +11,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Lexicons up to this many words are inlined as literals; a larger dictionary takes the join form.
+# Word lists up to this long are inlined as literals; longer ones become tables (operators/word_tables.py).
 INLINE_WORDS = 2_000
 
 # --- fixed values: part-of-speech tags that may become keywords ---------------------------------
@@ -115,15 +115,20 @@ class Lexicon:
         for name in ("user_dict", "stop_words", "neg_stopwords"):
             object.__setattr__(self, name, tuple(dict.fromkeys(getattr(self, name))))
 
+    def longest(self) -> int:
+        """The length of the longest word list."""
+        return max(len(self.user_dict), len(self.stop_words), len(self.neg_stopwords), len(self.synonyms))
+
+    def fits_inline(self) -> bool:
+        """Whether all lists are short enough for literals in an expression."""
+        return self.longest() <= INLINE_WORDS
+
     def check_inline(self) -> None:
         """Refuse lists too long for literals in an expression."""
-        longest = max(
-            len(self.user_dict), len(self.stop_words), len(self.neg_stopwords), len(self.synonyms)
-        )
-        if longest > INLINE_WORDS:
+        if not self.fits_inline():
             raise ValueError(
-                f"a list of {longest} words is too long to inline ({INLINE_WORDS}); use the join "
-                "form in voxtally.operators.dictionary"
+                f"a list of {self.longest()} words is too long to inline ({INLINE_WORDS}); use the "
+                "table form in voxtally.operators.word_tables"
             )
 
     def seed_words(self) -> tuple[str, ...]:
@@ -146,15 +151,23 @@ def korean_lexicon(user_dict: Sequence[str], low: bool = False) -> Lexicon:
     return replace(base, seeds=KOREAN_LOW_SEEDS) if low else base
 
 
+def read_long_words(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """A word list of any length from a text file, one word per line, for a :class:`Lexicon`.
+
+    The driver holds the list. Past the inline bound the operators turn it into a table.
+    """
+    rows = spark.read.text(path).toLocalIterator()
+    return tuple(dict.fromkeys(word for r in rows if (word := r.value.strip())))
+
+
 def read_words(spark: SparkSession, path: str) -> tuple[str, ...]:
     """A word list from a text file, one word per line, ready to inline.
 
-    Raises when the file holds more than the inline bound; such a list stays a table
-    (:func:`word_table`).
+    Raises when the file holds more than the inline bound; :func:`read_long_words` does not.
     """
     rows = spark.read.text(path).limit(INLINE_WORDS + 1).collect()
     if len(rows) > INLINE_WORDS:
-        raise ValueError(f"{path} has more than {INLINE_WORDS} words; read it with word_table")
+        raise ValueError(f"{path} has more than {INLINE_WORDS} words; use read_long_words or word_table")
     return tuple(dict.fromkeys(r.value.strip() for r in rows if r.value.strip()))
 
 
