@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtally.operators.components import connected_components
@@ -15,10 +15,19 @@ from voxtally.session import materialize
 
 NEIGHBORS = 15
 EPS_QUANTILE = 0.9
-# Distances are compared at this many decimals.
+# Distances are compared at this many decimals, those below 0.1 at this many significant digits.
 DECIMALS = 4
 
 
+def rounded(distance: Column) -> Column:
+    """The distance as it is compared. Small distances keep their digits, so that near copies closer
+    than the decimals stay apart, and each decade has a bounded number of values."""
+    scale = F.pow(F.lit(10.0), F.lit(DECIMALS - 1) - F.floor(F.log10(distance)))
+    return F.when((distance > 0) & (distance < 0.1), F.rint(distance * scale) / scale).otherwise(
+        F.round(distance, DECIMALS)
+    )
+
+
 def histogram_quantile(values: DataFrame, value: str, weight: str, q: float) -> float | None:
     """The lowest value that at least the share ``q`` of the weight does not exceed.
 
@@ -74,7 +83,7 @@ def density_topics(
     """
     k = max(n_neighbors, min_samples)
     hood = neighborhood(df, key, vector, k, **options)
-    core = F.round(F.get("entries", F.lit(min_samples))["distance"], DECIMALS)
+    core = rounded(F.get("entries", F.lit(min_samples))["distance"])
     facts = materialize(
         point_entries(hood, k)
         .select("vid", "entries", core.alias("core"))
@@ -87,7 +96,7 @@ def density_topics(
     links = (
         facts.where(F.col("core") <= F.lit(eps))
         .select(F.col("vid").alias("a"), F.explode(F.slice("entries", 1, n_neighbors + 1)).alias("_e"))
-        .where(F.round("_e.distance", DECIMALS) <= F.lit(eps))
+        .where(rounded(F.col("_e.distance")) <= F.lit(eps))
         .select("a", F.col("_e.near_vid").alias("b"))
         .join(dense.select(F.col("node").alias("b")), "b", "left_semi")
     )
@@ -113,7 +122,7 @@ def kmeans_topics(
     squares = F.zip_with(
         vector_to_array("_vector"), F.get(centres, F.col("_group")), lambda x, c: (x - c) * (x - c)
     )
-    distance = F.round(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, b: a + b)), DECIMALS)
+    distance = rounded(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, b: a + b)))
     placed = materialize(
         model.transform(rows).select(key, "_group", distance.alias("_distance")), "centred"
     )
