@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from functools import lru_cache
 
 import public_tokenizers
@@ -21,19 +21,24 @@ _BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 class UnigramModel:
-    """A vocabulary of byte strings with log probabilities that fall with the rank (Zipf's law).
+    """A vocabulary of byte strings with log probabilities.
 
-    The vocabulary has every single byte, so each word has a segmentation. Its automaton maps a
+    They are those of ``scores``, whose keys are then the vocabulary; without it they fall with the
+    rank (Zipf's law), which is a stand-in for a trained model's. The vocabulary has every single byte, so each word has a segmentation. Its automaton maps a
     state and a byte to the next state; ``ends`` has the log probability of the states that are
     whole pieces.
     """
 
-    def __init__(self, pieces: dict[bytes, int]):
+    def __init__(self, pieces: Mapping[bytes, int], scores: Mapping[bytes, float] | None = None):
+        if scores is None:
+            total = math.log(sum(1 / (rank + 1) for rank in pieces.values()))
+            scores = {piece: -math.log(rank + 1) - total for piece, rank in pieces.items()}
+        elif any(bytes([byte]) not in scores for byte in range(256)):
+            raise ValueError("the scores must have every single byte, or some words have no segmentation")
         self.steps: dict[int, int] = {}
         self.ends: dict[int, float] = {}
         states = 1
-        total = math.log(sum(1 / (rank + 1) for rank in pieces.values()))
-        for piece, rank in pieces.items():
+        for piece, score in scores.items():
             state = 0
             for byte in piece:
                 key = state << 8 | byte
@@ -41,7 +46,7 @@ class UnigramModel:
                     self.steps[key] = states
                     states += 1
                 state = self.steps[key]
-            self.ends[state] = -math.log(rank + 1) - total
+            self.ends[state] = score
 
     def count_words(self, words: Iterable[bytes]) -> dict[bytes, int]:
         """The number of pieces in each word's most probable segmentation (of ties, the shortest).
@@ -100,17 +105,26 @@ def _model(path: str) -> UnigramModel:
     return UnigramModel(vocabulary(path))
 
 
-def count_tokens(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def count_tokens(
+    docs: DataFrame,
+    vocabulary_path: str,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    scores: Mapping[bytes, float] | None = None,
+) -> DataFrame:
     """``(doc_id, n_words, n_tokens)`` for every row of ``docs``, over its whole text.
 
     Words are what blanks (``\\x20``, ``\\x09`` to ``\\x0D``) separate. Each task looks up words it has
     counted before, in a dictionary of bounded size, and counts the other distinct words of a slice
     of texts in one walk over their trie. Nothing is shuffled. Null and empty texts have no words;
     repeated rows are counted one by one.
+
+    ``scores``, the log probability of each piece of a unigram model, takes the place of the file; it
+    must have every single byte.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = _model(vocabulary_path), {}
+        model, known = UnigramModel({}, scores) if scores is not None else _model(vocabulary_path), {}
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 words = [text.split() for text in binary(batch["text"])]
