@@ -8,6 +8,7 @@ from voxtally.llm import (
     line_dedup,
     ngram_join,
     packing,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     substring_dedup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
 }
 
 ORACLES = {
@@ -33,4 +35,5 @@ ORACLES = {
     "op4_url_filters": url_filters.OP4_SQL,
     "op8_benchmark_decontamination": decontamination.OP8_SQL,
     "op10_ngram_jaccard_join": ngram_join.OP10_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
 }
