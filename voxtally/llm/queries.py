@@ -12,7 +12,9 @@ from voxtally.llm import (
     quality_classifier,
     quality_rules,
     substring_dedup,
+    token_alignment,
     token_counts,
+    token_planes,
     url_filters,
 )
 
@@ -28,6 +30,8 @@ QUERIES = {
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_token_planes": token_planes.op12_token_planes,
+    "op13_tokenizer_alignment": token_alignment.op13_tokenizer_alignment,
 }
 
 ORACLES = {
