@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -22,8 +24,9 @@ from voxtally.llm.token_planes import from_planes, to_planes
 from voxtally.operators.skew import skew_join
 from voxtally.session import materialize
 
-PART_CHARS = 1 << 19  # longer texts go to the piece tokenizer in parts
+KNOWN_WORDS, KNOWN_CHARS = 1 << 18, 256  # words that a task keeps with their ids, and their length
 LOOKUP_PAIRS = 2_000_000  # pairs whose counts may travel to every task, at 17 bytes each
+_WORD = re.compile(" +[^ ]*")
 _HELD = 1 << 20  # pairs that a task counts up before it gives them on
 
 _ALIGNED = (
@@ -44,7 +47,8 @@ class Tokenizers:
         for entry, number in entries.items():
             self.bytes_a[number] = entry
         model = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        self._model, self.size_b = model, model.get_piece_size()
+        self._model, self.size_b, self._blank = model, model.get_piece_size(), model.piece_to_id("▁")
+        self._known: dict[str, list[int] | None] = {}
         self.bytes_b = [self._bytes(i) for i in range(self.size_b)]
         self.sizes_a, self.sizes_b = (
             np.fromiter(map(len, b), dtype=np.int64, count=len(b)) for b in (self.bytes_a, self.bytes_b)
@@ -61,28 +65,30 @@ class Tokenizers:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    def encode_b(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts, to each of which the model adds a blank. No piece has a blank after another
-        character, so a text may be cut before a blank that follows one; long texts are."""
-        parts = [part for text in texts for part in _parts(text)]
-        found = iter(self._model.encode(parts, num_threads=1))
-        return [[i for _ in _parts(text) for i in next(found)] if len(text) > PART_CHARS else next(found) for text in texts]
-
-
-def _parts(text: str) -> list[str]:
-    """The text in parts of about ``PART_CHARS`` characters, without the blank that each begins with."""
-    if len(text) <= PART_CHARS:
-        return [text]
-    whole, start, out = " " + text, 0, []
-    cut = whole.find(" ", PART_CHARS)
-    while 0 < cut < len(whole) - 1:
-        if whole[cut - 1] not in " ▁":  # the model reads the sign as a blank
-            out.append(whole[start + 1 : cut])
-            start = cut
-            cut = whole.find(" ", start + PART_CHARS)
-        else:
-            cut = whole.find(" ", cut + 1)
-    return [*out, whole[start + 1 :]]
+    def encode_b(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of texts, to each of which the model adds a blank; None if they do not give the text back.
+
+        No piece has a blank after another character, so a text with its blank is encoded word by
+        word, each with the blanks before it; words that are new are encoded together. The model
+        reads the sign for a blank as one, so texts with that sign are never given back.
+        """
+        words = [_WORD.findall(" " + text) if text and "▁" not in text else [] for text in texts]
+        new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in self._known]
+        for word, ids in zip(new, self._model.encode([w[1:] for w in new], num_threads=1)):
+            ids = ids or [self._blank]  # the word is the blank itself
+            given = b"".join([self.bytes_b[i] for i in ids])
+            self._known[word] = ids if given == word.encode("utf-8", "replace") else None
+        out = []
+        for own in words:
+            found = [self._known[w] for w in own]
+            lost = not found or None in found
+            out.append(None if lost else np.fromiter(chain.from_iterable(found), dtype=np.int64))
+        if len(self._known) > KNOWN_WORDS:
+            self._known = {}
+        for word in new:
+            if len(word) > KNOWN_CHARS:
+                self._known.pop(word, None)
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -101,50 +107,57 @@ def shared_groups(
 ) -> np.ndarray:
     """The smallest groups between ends that A and B share, as rows ``(a0, a1, b0, b1)`` in order.
 
-    ``intervals`` has such rows of tokens that end together, one per text. Each is cut at the shared
-    end nearest to the middle of its A tokens, which is looked for outwards from there in steps that
-    double, every end of A by bisection among those of B; both halves go the same way. An interval in
-    which no end is shared is a group. All intervals of a depth go together.
+    ``intervals`` has such rows of tokens that end together, one per text, in order. Each is cut at
+    the shared end nearest to the middle of its A tokens: the end of A there is looked up by bisection
+    among those of B, and if it is none of them, those further out on both sides. Both halves go the
+    same way, and an interval in which no end is shared is a group. All intervals of a depth go
+    together.
     """
-    groups, active = [], intervals[(intervals[:, 1] > intervals[:, 0])]
-    reach = np.zeros(len(active), dtype=np.int64)
-    while len(active):
-        a0, a1, b0, b1 = active.T
+    groups, active = [], tuple(c[intervals[:, 1] > intervals[:, 0]] for c in intervals.T)
+    while len(active[0]):
+        a0, a1, b0, b1 = active
         single = (a1 - a0 == 1) | (b1 - b0 == 1)
-        groups.append(active[single])
-        active, reach = active[~single], reach[~single]
-        a0, a1, b0, b1 = active.T
-        middle = (a0 + a1 - 2) // 2
-        # Beyond what has been looked at: the ends in (reach / 2, reach] on either side.
-        inner = np.where(reach == 0, -1, reach // 2)
-        low, high = np.maximum(a0, middle - reach), np.minimum(a1 - 2, middle + reach)
-        left = np.maximum(middle - inner - low, 0)
-        right = np.where(reach == 0, 0, np.maximum(high - middle - inner, 0))
-        left = np.where(reach == 0, 1, left)
-        at, of = _ragged(np.concatenate((low, middle + inner + 1)), np.concatenate((left, right)))
-        of %= max(len(active), 1)
-        place = np.searchsorted(ends_b, ends_a[at])
-        hit = ends_b[np.minimum(place, len(ends_b) - 1)] == ends_a[at]
-        at, of, place = at[hit], of[hit], place[hit]
-        nearest = np.lexsort((at, np.abs(at - middle[of]), of))
-        at, of, place = at[nearest], of[nearest], place[nearest]
-        first = np.concatenate(([True], of[1:] != of[:-1])) if len(of) else np.zeros(0, dtype=bool)
-        at, of, place = at[first], of[first], place[first]
-        found = np.zeros(len(active), dtype=bool)
-        found[of] = True
-        done = ~found & (low == a0) & (high == a1 - 2)
-        groups.append(active[done])
-        on = ~found & ~done
-        halves = (
-            np.stack((a0[of], at + 1, b0[of], place + 1), axis=1),
-            np.stack((at + 1, a1[of], place + 1, b1[of]), axis=1),
-        )
-        fresh = np.zeros(len(of), dtype=np.int64)
-        active, reach = np.concatenate((*halves, active[on])), np.concatenate((fresh, fresh, np.maximum(2 * reach[on], 1)))
-    out = np.concatenate(groups) if groups else np.zeros((0, 4), dtype=np.int64)
+        groups.append(tuple(c[single] for c in active))
+        a0, a1, b0, b1 = (c[~single] for c in active)
+        cut = (a0 + a1 - 2) >> 1
+        place = np.searchsorted(ends_b, ends_a[cut])
+        lost = np.flatnonzero(ends_b[np.minimum(place, len(ends_b) - 1)] != ends_a[cut])
+        if len(lost):
+            cut[lost], place[lost] = _widen(ends_a, ends_b, a0[lost], a1[lost], cut[lost])
+            whole = cut < 0
+            groups.append(tuple(c[whole] for c in (a0, a1, b0, b1)))
+            a0, a1, b0, b1, cut, place = (c[~whole] for c in (a0, a1, b0, b1, cut, place))
+        # Halves side by side, so that lookups go on in order.
+        cut, place = cut + 1, place + 1
+        active = tuple(np.stack(c, axis=1).ravel() for c in ((a0, cut), (cut, a1), (b0, place), (place, b1)))
+    out = np.stack([np.concatenate(c) for c in zip(*groups)], axis=1) if groups else np.zeros((0, 4), np.int64)
     return out[np.argsort(out[:, 0], kind="stable")]
 
 
+def _widen(
+    ends_a: np.ndarray, ends_b: np.ndarray, a0: np.ndarray, a1: np.ndarray, middle: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The shared end nearest to each middle, the middle itself left out, and its place in B; -1 where
+    an interval has none. Of two as near the earlier one is taken. Steps double from look to look."""
+    cut, place = np.full(len(a0), -1), np.full(len(a0), -1)
+    asking, reach, inner = np.arange(len(a0)), 1, 0
+    while len(asking):
+        m = middle[asking]
+        low, high = np.maximum(a0[asking], m - reach), np.minimum(a1[asking] - 2, m + reach)
+        sizes = np.concatenate((np.maximum(m - inner - low, 0), np.maximum(high - m - inner, 0)))
+        at, of = _ragged(np.concatenate((low, m + inner + 1)), sizes)
+        of %= len(asking)
+        found = np.searchsorted(ends_b, ends_a[at])
+        hit = ends_b[np.minimum(found, len(ends_b) - 1)] == ends_a[at]
+        at, of, found = at[hit], of[hit], found[hit]
+        # From far to near, and from right to left, so that what is written last is the one to take.
+        order = np.lexsort((-at, -np.abs(at - m[of])))
+        cut[asking[of[order]]], place[asking[of[order]]] = at[order], found[order]
+        on = (cut[asking] < 0) & ((low > a0[asking]) | (high < a1[asking] - 2))
+        asking, inner, reach = asking[on], reach, 2 * reach
+    return cut, place
+
+
 def _pack(pairs: np.ndarray, times: np.ndarray) -> bytes:
     """Distinct pairs in order and how often each is linked, small."""
     steps = np.diff(pairs, prepend=0)
@@ -164,15 +177,14 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _align_texts(texts: list[bytes], both: Tokenizers) -> list[tuple]:
     """``(n_a, n_b, n_groups, n_links, groups_sha256, links)`` of each text."""
     words = [t.decode("utf-8", "replace") for t in texts]
-    ids_a = [np.frombuffer(both.encode_a(b" " + t), dtype="<u4").astype(np.int64) if t else np.zeros(0, np.int64) for t in texts]
-    ids_b = [np.array(x, dtype=np.int64) for x in both.encode_b(words)]
-    for row, text in enumerate(texts):
-        whole = b" " + text
-        if not text or any(
-            b"".join([names[i] for i in ids.tolist()]) != whole
-            for ids, names in ((ids_a[row], both.bytes_a), (ids_b[row], both.bytes_b))
-        ):
-            ids_a[row] = ids_b[row] = np.zeros(0, dtype=np.int64)
+    none = np.zeros(0, dtype=np.int64)
+    ids_b = [none if ids is None else ids for ids in both.encode_b(words)]
+    # A byte-level tokenizer gives back all bytes of what it reads, so a text is lost if it is no UTF-8.
+    ids_a = [
+        np.frombuffer(both.encode_a(b" " + t), dtype="<u4").astype(np.int64) if len(b) and w.encode() == t else none
+        for t, w, b in zip(texts, words, ids_b)
+    ]
+    ids_b = [b if len(a) else none for a, b in zip(ids_a, ids_b)]
     n_a, n_b = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (ids_a, ids_b))
     all_a, all_b = np.concatenate(ids_a), np.concatenate(ids_b)
     to_a, to_b = np.cumsum(n_a), np.cumsum(n_b)
