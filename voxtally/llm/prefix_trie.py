@@ -17,6 +17,7 @@ from voxtally.session import materialize, scratch
 BAND = 16  # depths that one step rolls up
 HEADS = 5  # conversations of so many neighbouring ids share the head of the first
 SPLITS = 9  # heads have fewer turns than this
+HEAD = 32  # characters that say how turns of one number are ordered
 CHUNK = 512  # ids that are joined before they are hashed
 
 KEY = ("k1", "k2")
@@ -28,18 +29,23 @@ _SUPER = 256  # bands whose sums are added up together
 def place_turns(turns: DataFrame, conversation: str, turn: str, role: str, text: str) -> DataFrame:
     """``(conv_id, at, x1, x2, bytes)``: each conversation's turns from 1, as hash and size.
 
-    Order is by turn number (null first), role and text. The texts go through one range partitioning
-    by all of that, so that neither a long conversation nor a turn that is repeated very often ends
-    in one task; a run that goes on from an earlier partition starts at the sum of what was before.
+    Order is by turn number (null first), then by the first ``HEAD`` characters of role and text, then
+    by hash. One range partitioning by all of that, without the texts, sees to it that neither a long
+    conversation nor a turn that is repeated very often ends in one task; a run that goes on from an
+    earlier partition starts at the sum of what was before.
     """
+    role, text = (F.coalesce(F.col(c), F.lit("")) for c in (role, text))
     rows = turns.where(F.col(conversation).isNotNull()).select(
         F.col(conversation).cast("bigint").alias("conv_id"),
         F.col(turn).alias("turn"),
-        F.coalesce(F.col(role), F.lit("")).alias("role"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.left(role, F.lit(HEAD)).alias("role"),
+        F.left(text, F.lit(HEAD)).alias("text"),
+        F.xxhash64(role, text).alias("x1"),
+        F.xxhash64(F.lit(1), role, text).alias("x2"),
+        F.octet_length(text).cast("bigint").alias("bytes"),
         F.monotonically_increasing_id().alias("copy"),  # so that equal rows can be dealt out
     )
-    order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text"), F.col("copy")]
+    order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), *map(F.col, ("role", "text", "x1", "x2", "copy"))]
     placed = materialize(
         rows.repartitionByRange(*order)
         .sortWithinPartitions(*order)
@@ -47,9 +53,9 @@ def place_turns(turns: DataFrame, conversation: str, turn: str, role: str, text:
             "conv_id",
             F.spark_partition_id().alias("part"),
             F.monotonically_increasing_id().alias("row"),
-            F.xxhash64("role", "text").alias("x1"),
-            F.xxhash64(F.lit(1), "role", "text").alias("x2"),
-            F.octet_length("text").cast("bigint").alias("bytes"),
+            "x1",
+            "x2",
+            "bytes",
         ),
         "turns",
     )
@@ -288,8 +294,8 @@ def prefix_trie(
     once for each conversation but one), ``ends_sha256`` the hash of the ids that end there.
     ``(conv_id, depth)`` is unique. ``share`` first rebuilds the conversations (:func:`share_heads`).
 
-    Null roles and texts are empty, equal turns are ordered by role and text and repeated rows are
-    turns of their own; rows without a conversation are left out; no conversations give no rows, a
+    Null roles and texts are empty, turns of one number are ordered as :func:`place_turns` says and
+    repeated rows are turns of their own; rows without a conversation are left out; no conversations give no rows, a
     conversation without turns (after rebuilding) ends at the root. Identity of turns and sequences
     rests on 128-bit hashes. Long conversations are paths of bands, see :func:`subtree_totals`.
     """

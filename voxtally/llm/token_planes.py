@@ -37,6 +37,7 @@ from voxtally.session import materialize, new_folder
 
 CHUNK_IDS = 1 << 16
 LEVEL = 3  # of zstandard
+HEAD = 32  # characters of a text that say where it stands among those of its id
 END = 0  # the id after every document
 
 _DOC = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -150,20 +151,23 @@ def write_tokens(
     """Write the ids of all texts to the token folder ``path``, in ascending order of ``doc_id``.
 
     ``tokenizer`` is the path of a byte-level BPE file; ``end`` is the id after each document. A null
-    text is empty. A null id comes first, and rows that share an id go by their texts, repeated rows
-    one by one. No rows give an empty folder of both tables.
+    text is empty. A null id comes first, and rows that share an id go by the first ``HEAD`` characters
+    of their texts (null first) and then by hash, repeated rows one by one. No rows give an empty
+    folder of both tables.
 
-    The texts are range-partitioned once, by id and then by text and row, so that an id with very
-    many rows is dealt out. A task tokenizes its range as it comes and holds the ids of one chunk;
+    The texts are range-partitioned once, by id and then by head, hash and row, so that an id with
+    very many rows is dealt out; the sample that the ranges come from holds heads and no texts. A task tokenizes its range as it comes and holds the ids of one chunk;
     shards know only their own ids, and the index adds up what lies before each.
     """
     spark = docs.sparkSession
     rows = docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"),
         F.col(text).alias("text"),
+        F.left(text, F.lit(HEAD)).alias("head"),
+        F.xxhash64(text).alias("hash"),
         F.monotonically_increasing_id().alias("copy"),
     )
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first(), F.col("copy")]
+    order = [F.col("doc_id").asc_nulls_first(), F.col("head").asc_nulls_first(), F.col("hash"), F.col("copy")]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     chunks = ordered.mapInArrow(_fill(tokenizer, end, chunk_ids, bits), _CHUNKS)
     chunks.write.mode(mode).parquet(f"{path}/chunks")
