@@ -134,14 +134,14 @@ def tokenize(
     ``low`` also drops the extra stop words of the low-rating scope, dictionary words included.
     ``strict_stops`` applies the stop words once more after the synonyms.
 
-    Lists past the inline bound are joined as tables, with the same rows as result; that form works
-    out the tokens at once and writes them.
+    Lists past the inline bound become files on the executors that Python workers scan texts with;
+    that form has the same rows as result and is as narrow.
     """
     if not lexicon.fits_inline():
         # Imported late: the operators are built on this module.
-        from voxtally.operators.word_tables import tokenize_join
+        from voxtally.operators.word_scan import tokenize_scan
 
-        return tokenize_join(df, lexicon, text, output, low, analyzer, strict_stops, longest_only)
+        return tokenize_scan(df, lexicon, text, output, low, analyzer, strict_stops, longest_only)
     forms = F.filter(analyzer(text_of(text)), lambda t: F.length(t) > 1)
     rest = normalize(without(forms, lexicon.stop_words), lexicon.synonyms)
     if strict_stops:

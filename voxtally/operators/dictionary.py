@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtally.functions.text import dictionary_hits, text_of
-from voxtally.operators.skew import lookup_join, skew_join
-from voxtally.operators.word_tables import cut_words, longest_matches, written_words
+from voxtally.operators.skew import lookup_join
+from voxtally.operators.word_scan import word_scan
+from voxtally.session import materialize
 from voxtally.sources.lexicons import Lexicon
 
 
@@ -18,28 +19,25 @@ def dictionary_matches(
     key: str = "review_id",
     longest_only: bool = False,
 ) -> DataFrame:
-    """``(key, word)`` for every dictionary word that is a substring of the text. Narrow, but for
-    a lexicon past the inline bound, which is joined as a table."""
-    if not lexicon.fits_inline():
-        if longest_only:
-            return longest_matches(df, lexicon, text, key)
-        return dictionary_matches_join(df, written_words(df.sparkSession, lexicon.user_dict), text, key)
-    hits = dictionary_hits(text_of(text), lexicon.user_dict, longest_only)
+    """``(key, word)`` for every dictionary word that is a substring of the text. Narrow; a lexicon
+    past the inline bound is scanned for by an automaton of its words."""
+    if lexicon.fits_inline():
+        hits = dictionary_hits(text_of(text), lexicon.user_dict, longest_only)
+    else:
+        hits = word_scan(df.sparkSession, lexicon.user_dict, longest_only)(text_of(text))
     return df.select(key, F.explode(hits).alias("word"))
 
 
-def dictionary_matches_join(
+def dictionary_matches_table(
     df: DataFrame, words: DataFrame, text: str = "content_clean", key: str = "review_id"
 ) -> DataFrame:
-    """The same result for a dictionary table of any length (column ``word``).
+    """The same result for a dictionary table (column ``word``) of any length that the driver can hold.
 
-    The texts are cut into the substrings whose length some word has; these meet the words in an
-    equi-join, so no text is compared with every word.
+    Every text is scanned once, whatever the number of words; no text is cut, exploded or shuffled.
     """
-    pieces = cut_words(text_of(text), words)
-    found = df.select(key, F.explode(pieces).alias("word"))
-    known = words.select("word").distinct()
-    return skew_join(found, known, ["word"], by=[key]).select(key, "word")
+    listed = dict.fromkeys(r.word for r in words.select("word").toLocalIterator() if r.word is not None)
+    hits = word_scan(df.sparkSession, list(listed))(text_of(text))
+    return df.select(key, F.explode(hits).alias("word"))
 
 
 def keyword_coverage(
@@ -51,8 +49,8 @@ def keyword_coverage(
     """
     first = terms.where((F.col("topic") != -1) & (F.col("rank") <= top_n))
     if not lexicon.fits_inline():
-        words = written_words(terms.sparkSession, lexicon.user_dict)
-        flags = words.select(F.col("word").alias("term"), F.lit(True).alias("_known"))
+        listed = terms.sparkSession.createDataFrame([(w, True) for w in lexicon.user_dict], "term string, _known boolean")
+        flags = materialize(listed, "words")
         first = lookup_join(first, flags, ["term"], by=["topic", "rank"], how="left")
         known = F.coalesce("_known", F.lit(False))
     else:

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Word lists up to this long are inlined as literals; longer ones become tables (operators/word_tables.py).
+# Word lists up to this long are inlined as literals; longer ones become files (operators/word_scan.py).
 INLINE_WORDS = 2_000
 
 # --- fixed values: part-of-speech tags that may become keywords ---------------------------------
@@ -123,14 +123,6 @@ class Lexicon:
         """Whether all lists are short enough for literals in an expression."""
         return self.longest() <= INLINE_WORDS
 
-    def check_inline(self) -> None:
-        """Refuse lists too long for literals in an expression."""
-        if not self.fits_inline():
-            raise ValueError(
-                f"a list of {self.longest()} words is too long to inline ({INLINE_WORDS}); use the "
-                "table form in voxtally.operators.word_tables"
-            )
-
     def seed_words(self) -> tuple[str, ...]:
         return tuple(dict.fromkeys(w for group in self.seeds for w in group))
 
@@ -154,23 +146,12 @@ def korean_lexicon(user_dict: Sequence[str], low: bool = False) -> Lexicon:
 def read_long_words(spark: SparkSession, path: str) -> tuple[str, ...]:
     """A word list of any length from a text file, one word per line, for a :class:`Lexicon`.
 
-    The driver holds the list. Past the inline bound the operators turn it into a table.
+    The driver holds the list. Past the inline bound the operators scan for it.
     """
     rows = spark.read.text(path).toLocalIterator()
     return tuple(dict.fromkeys(word for r in rows if (word := r.value.strip())))
 
 
-def read_words(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """A word list from a text file, one word per line, ready to inline.
-
-    Raises when the file holds more than the inline bound; :func:`read_long_words` does not.
-    """
-    rows = spark.read.text(path).limit(INLINE_WORDS + 1).collect()
-    if len(rows) > INLINE_WORDS:
-        raise ValueError(f"{path} has more than {INLINE_WORDS} words; use read_long_words or word_table")
-    return tuple(dict.fromkeys(r.value.strip() for r in rows if r.value.strip()))
-
-
 def word_table(spark: SparkSession, path: str) -> DataFrame:
     """A word list of any length as a table with the column ``word``."""
     return (
