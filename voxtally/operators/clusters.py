@@ -4,45 +4,18 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtally.operators.components import connected_components
 from voxtally.operators.neighbors import for_every_row, neighborhood, point_entries
 from voxtally.operators.ordinal import number_rows
+from voxtally.operators.quantile import exact_quantile
 from voxtally.operators.skew import lookup_join
 from voxtally.session import materialize
 
 NEIGHBORS = 15
 EPS_QUANTILE = 0.9
-# Distances are compared at this many decimals, those below 0.1 at this many significant digits.
-DECIMALS = 4
-
-
-def rounded(distance: Column) -> Column:
-    """The distance as it is compared. Small distances keep their digits, so that near copies closer
-    than the decimals stay apart, and each decade has a bounded number of values."""
-    scale = F.pow(F.lit(10.0), F.lit(DECIMALS - 1) - F.floor(F.log10(distance)))
-    return F.when((distance > 0) & (distance < 0.1), F.rint(distance * scale) / scale).otherwise(
-        F.round(distance, DECIMALS)
-    )
-
-
-def histogram_quantile(values: DataFrame, value: str, weight: str, q: float) -> float | None:
-    """The lowest value that at least the share ``q`` of the weight does not exceed.
-
-    Exact over rounded values: the histogram has one row per distinct value, which rounding bounds.
-    """
-    bins = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(weight).alias("_n"))
-    total = bins.agg(F.sum("_n").alias("_total")).scalar()
-    upto = F.sum("_n").over(Window.orderBy(value))
-    row = (
-        bins.withColumn("_upto", upto)
-        .where(F.col("_upto") >= F.lit(q) * total)
-        .agg(F.min(value).alias("cut"))
-        .first()
-    )
-    return row.cut
 
 
 def relabel_by_size(docs: DataFrame, group: str, key: str, min_size: int) -> DataFrame:
@@ -83,7 +56,7 @@ def density_topics(
     """
     k = max(n_neighbors, min_samples)
     hood = neighborhood(df, key, vector, k, **options)
-    core = rounded(F.get("entries", F.lit(min_samples))["distance"])
+    core = F.get("entries", F.lit(min_samples))["distance"]
     facts = materialize(
         point_entries(hood, k)
         .select("vid", "entries", core.alias("core"))
@@ -91,12 +64,12 @@ def density_topics(
         "cores",
     )
     if eps is None:
-        eps = histogram_quantile(facts, "core", "copies", eps_quantile)
+        eps = exact_quantile(facts, "core", eps_quantile, "copies")
     dense = facts.where(F.col("core") <= F.lit(eps)).select(F.col("vid").alias("node"))
     links = (
         facts.where(F.col("core") <= F.lit(eps))
         .select(F.col("vid").alias("a"), F.explode(F.slice("entries", 1, n_neighbors + 1)).alias("_e"))
-        .where(rounded(F.col("_e.distance")) <= F.lit(eps))
+        .where(F.col("_e.distance") <= F.lit(eps))
         .select("a", F.col("_e.near_vid").alias("b"))
         .join(dense.select(F.col("node").alias("b")), "b", "left_semi")
     )
@@ -122,11 +95,11 @@ def kmeans_topics(
     squares = F.zip_with(
         vector_to_array("_vector"), F.get(centres, F.col("_group")), lambda x, c: (x - c) * (x - c)
     )
-    distance = rounded(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, b: a + b)))
+    distance = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, b: a + b))
     placed = materialize(
         model.transform(rows).select(key, "_group", distance.alias("_distance")), "centred"
     )
     if outlier_quantile is not None:
-        cut = histogram_quantile(placed.withColumn("_one", F.lit(1)), "_distance", "_one", outlier_quantile)
+        cut = exact_quantile(placed, "_distance", outlier_quantile)
         placed = placed.withColumn("_group", F.when(F.col("_distance") <= F.lit(cut), F.col("_group")))
     return relabel_by_size(placed, "_group", key, min_cluster_size).select(key, "topic")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FEATURES = 512
@@ -13,43 +18,46 @@ def bucket_of(token: str, features: int = FEATURES):
     return F.conv(F.substring(F.md5(token), 1, 4), 16, 10).cast("int") % features
 
 
+def _buckets(tokens: str, features: int) -> Column:
+    return F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: bucket_of(t, features))
+
+
+def fit_weights(docs: DataFrame, tokens: str = "tokens", features: int = FEATURES) -> list[float]:
+    """The weight of each feature: the logarithm of the number of texts over that of those with it.
+
+    One pass counts the texts of each feature, combined on the map side into ``features`` numbers.
+    """
+    # Feature -1 is in every text and so counts them.
+    own = F.array_distinct(F.concat(F.array(F.lit(-1)), _buckets(tokens, features)))
+    present = docs.select(F.explode(own).alias("_bucket")).groupBy("_bucket").agg(F.count("*"))
+    texts = {r[0]: r[1] for r in present.collect()}
+    total = texts.get(-1, 0)
+    return [math.log((total + 1.0) / (texts.get(b, 0) + 1.0)) for b in range(features)]
+
+
+def weigh(docs: DataFrame, weights: Sequence[float], tokens: str = "tokens", output: str = "embedding") -> DataFrame:
+    """Add the vector of each text where it stands, without a shuffle."""
+    idf = np.array(weights)
+
+    @F.pandas_udf("array<float>")
+    def vectors(rows: pd.Series) -> pd.Series:
+        def vector(own: np.ndarray) -> np.ndarray:
+            counts = np.bincount(np.asarray(own, dtype=np.int64), minlength=len(idf)) * idf
+            return (counts / (math.sqrt(counts @ counts) or 1.0)).astype("float32")
+
+        return pd.Series([vector(own) for own in rows], index=rows.index, dtype="object")
+
+    return docs.withColumn(output, vectors(_buckets(tokens, len(idf))))
+
+
 def hash_embed(
     docs: DataFrame,
     tokens: str = "tokens",
     output: str = "embedding",
     features: int = FEATURES,
-    key: str = "review_id",
 ) -> DataFrame:
     """Add a vector of ``features`` hashed TF-IDF weights of unit length.
 
-    A text without tokens, or with none that tells texts apart, has a vector of zeros. Term counts
-    combine on the map side and a text has at most ``features`` of them; the document frequencies
-    are a table of at most ``features`` rows.
+    A text without tokens, or with none that tells texts apart, has a vector of zeros.
     """
-    counts = (
-        docs.select(key, F.explode(tokens).alias("_token"))
-        .groupBy(key, bucket_of("_token", features).alias("_bucket"))
-        .agg(F.count("*").alias("_n"))
-    )
-    frequency = counts.groupBy("_bucket").agg(F.count("*").alias("_df"))
-    total = docs.agg(F.count("*").alias("_total"))
-    idf = frequency.crossJoin(F.broadcast(total)).select(  # one row, one number
-        "_bucket", F.log((F.col("_total") + 1.0) / (F.col("_df") + 1.0)).alias("_idf")
-    )
-    weights = (
-        counts.join(F.broadcast(idf), "_bucket")
-        .groupBy(key)
-        .agg(
-            F.map_from_entries(
-                F.collect_list(F.struct("_bucket", (F.col("_n") * F.col("_idf")).alias("w")))
-            ).alias("_weights"),
-            F.sqrt(F.sum((F.col("_n") * F.col("_idf")) ** 2)).alias("_norm"),
-        )
-    )
-    weight = F.transform(
-        F.sequence(F.lit(0), F.lit(features - 1)),
-        lambda b: F.when(F.col("_norm") > 0, F.coalesce(F.try_element_at("_weights", b), F.lit(0.0)) / F.col("_norm"))
-        .otherwise(F.lit(0.0))
-        .cast("float"),
-    )
-    return docs.join(weights, key, "left").withColumn(output, weight).drop("_weights", "_norm")
+    return weigh(docs, fit_weights(docs, tokens, features), tokens, output)

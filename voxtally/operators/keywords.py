@@ -56,16 +56,11 @@ def class_tfidf(
     counts = topic_term_frequency(docs, tokens, low, high)
     if tf_mode == "binary":
         counts = counts.withColumn("n", F.lit(1).cast("long"))
-    # A term has at most one row per topic, so this window's groups stay small.
-    by_term = Window.partitionBy("term")
-    kept = (
-        counts.withColumn("_df", F.count("*").over(by_term))
-        .withColumn("_f", F.sum("n").over(by_term))
-        .where((F.col("_df") >= min_df) & (F.col("_df") <= F.lit(max_df) * topics))
-        .withColumn("_topics", topics)
-        .drop("_df")
-    )
-    kept = materialize(kept, "topic-terms")
+    counts = materialize(counts, "topic-counts")
+    terms = counts.groupBy("term").agg(F.count("*").alias("_df"), F.sum("n").alias("_f"))
+    used = terms.where((F.col("_df") >= min_df) & (F.col("_df") <= F.lit(max_df) * topics)).drop("_df")
+    # A join and no window by term: a common term has a row in every topic, and topics may be many.
+    kept = materialize(counts.join(used, "term").withColumn("_topics", topics), "topic-terms")
     totals = kept.groupBy("topic").agg(F.sum("n").alias("_total"))
     mean = kept.agg(F.floor(F.sum("n") / F.max("_topics")).alias("_mean")).scalar()
     share = F.col("n") / F.col("_total")

@@ -203,12 +203,12 @@ def neighborhood(
 ) -> Neighborhood:
     """The ``k + 1`` nearest distinct points of every distinct point, itself included."""
     points, has_copies = distinct_points(df, key, vector, k)
-    size = points.agg(
+    size = points.groupBy(F.lit(0).alias("_all")).agg(  # no row for an empty table, which has no box
         F.count("*").alias("n"),
         vector_to_array(Summarizer.min(array_to_vector("vec"))).alias("lo"),
         vector_to_array(Summarizer.max(array_to_vector("vec"))).alias("hi"),
     ).first()
-    if not size.n:
+    if size is None:
         pairs = "array<struct<distance:double,vid:bigint>>"
         return Neighborhood(points, points.select("vid", F.array().cast(pairs).alias("near")), False)
 

@@ -41,7 +41,7 @@ _SYNONYM = "CASE word " + " ".join(
 ) + " ELSE word END"
 
 
-def _tokens(source: str, low: bool = False) -> str:
+def _tokens(source: str, low: bool = False, forms: str = "forms") -> str:
     drop = f"WHERE word NOT IN ({_list(LEXICON.neg_stopwords)})" if low else ""
     return f"""
     SELECT review_id, word, row_number() OVER (PARTITION BY review_id ORDER BY part, pos) AS ord
@@ -57,7 +57,7 @@ def _tokens(source: str, low: bool = False) -> str:
       SELECT review_id, word, 0 AS part, pos FROM {source}
       JOIN dictionary ON contains(content_clean, word)
       WHERE NOT EXISTS (
-        SELECT 1 FROM forms WHERE forms.review_id = {source}.review_id AND forms.word = dictionary.word)
+        SELECT 1 FROM {forms} f WHERE f.review_id = {source}.review_id AND f.word = dictionary.word)
     ) {drop}"""
 
 
@@ -101,9 +101,18 @@ def _top(weights: str) -> str:
       FROM {weights}) WHERE rank <= 10"""
 
 
-def _tf(topics: str) -> str:
+def _tf(topics: str, terms: str = "terms") -> str:
     return f"""
-    SELECT topic, term, count(*) AS n FROM {topics} JOIN terms USING (review_id) GROUP BY topic, term"""
+    SELECT topic, term, count(*) AS n FROM {topics} JOIN {terms} USING (review_id) GROUP BY topic, term"""
+
+
+def _terms(tok: str) -> str:
+    return f"""
+    SELECT review_id, ord, 0 AS part, word AS term FROM {tok}
+    UNION ALL
+    SELECT review_id, ord, 1, word || ' ' || following FROM (
+      SELECT *, lead(word) OVER (PARTITION BY review_id ORDER BY ord) AS following FROM {tok})
+    WHERE following IS NOT NULL"""
 
 
 def _hashed(tokens: str, docs: str, dims: int) -> str:
@@ -215,7 +224,7 @@ def _top_five(shares: str) -> str:
       FROM {shares}) WHERE rank <= 5"""
 
 
-_C = reg.CLUSTER
+_C, _H = reg.CLUSTER, reg.HIERARCHY
 
 
 def _density(p: str, projected: str) -> dict[str, str]:
@@ -226,7 +235,7 @@ def _density(p: str, projected: str) -> dict[str, str]:
         + f" FROM {projected} GROUP BY review_id",
         f"{p}near": _near(f"{p}reduced"),
         f"{p}cores": f"""
-    SELECT review_id, round(distance, 4) AS core FROM {p}near WHERE rank = {_C["min_samples"]}""",
+    SELECT review_id, distance AS core FROM {p}near WHERE rank = {_C["min_samples"]}""",
         f"{p}eps": f"""
     SELECT min(core) AS eps FROM (
       SELECT core, count(*) OVER (ORDER BY core RANGE UNBOUNDED PRECEDING) AS upto FROM {p}cores)
@@ -235,7 +244,7 @@ def _density(p: str, projected: str) -> dict[str, str]:
     SELECT n.review_id AS a, n.neighbor_id AS b FROM {p}near n
     JOIN {p}cores x ON x.review_id = n.review_id JOIN {p}cores y ON y.review_id = n.neighbor_id, {p}eps
     WHERE n.rank <= {_C["n_neighbors"]} AND x.core <= eps AND y.core <= eps
-      AND round(n.distance, 4) <= eps""",
+      AND n.distance <= eps""",
         f"{p}reach": f"""
     SELECT review_id AS a, review_id AS b FROM {p}cores, {p}eps WHERE core <= eps
     UNION
@@ -263,11 +272,98 @@ def _density_needs(p: str, projected: str) -> dict[str, tuple[str, ...]]:
 
 _LOW = "rating > 0 AND rating <= 2"
 
+
+def _fit(p: str, rows: str, low: bool, trigger: float) -> dict[str, str]:
+    """The parts of a whole analysis of ``rows``, named with the prefix ``p``."""
+    return {
+        f"{p}docs": f"""
+    SELECT * REPLACE ({_cleaned("content_clean")} AS content_clean) FROM ({rows}) JOIN all_vectors USING (review_id)""",
+        f"{p}forms": _forms(f"{p}docs"),
+        f"{p}tok": _tokens(f"{p}docs", low, f"{p}forms"),
+        f"{p}terms": _terms(f"{p}tok"),
+        f"{p}seed_docs": f"""
+    SELECT DISTINCT seed_id, review_id, embedding FROM seeds JOIN {p}tok USING (word) JOIN {p}docs USING (review_id)""",
+        f"{p}seed_vec": _means(f"{p}seed_docs", "seed_id"),
+        f"{p}guided": _guided(f"{p}docs", f"{p}seed_vec"),
+        f"{p}projected": _projected(f"{p}guided", "review_id", "g"),
+        **_density(p, f"{p}projected"),
+        f"{p}first": f"""
+    SELECT d.*, CAST(coalesce(topic, -1) AS INTEGER) AS topic
+    FROM {p}docs d LEFT JOIN {p}parts USING (review_id) LEFT JOIN {p}sizes USING (part)""",
+        f"{p}centroids": _means(f"(SELECT * FROM {p}first WHERE topic <> -1)", "topic"),
+        f"{p}sims": _sims(f"{p}first", f"{p}centroids"),
+        f"{p}moved": _moved(f"{p}first", f"{p}sims", trigger),
+        f"{p}tf": _tf(f"{p}moved", f"{p}terms"),
+        f"{p}weights": _weights(
+            f"{p}tf",
+            f"{p}moved",
+            root=f"(SELECT avg(CASE WHEN old_topic = -1 THEN 1.0 ELSE 0.0 END) FROM {p}moved) <= {trigger}",
+            seeded=True,
+            min_df=1,
+        ),
+        f"{p}top": _top(f"{p}weights"),
+        f"{p}names": _names(f"{p}moved", f"{p}top"),
+        f"{p}labelled": f"""
+    SELECT review_id, brand, topic, CASE WHEN topic = -1 THEN '{NOISE_LABEL}' ELSE topic_name END AS topic_name
+    FROM {p}moved LEFT JOIN {p}names USING (topic)""",
+    }
+
+
+def _fit_needs(p: str, *rows: str) -> dict[str, tuple[str, ...]]:
+    needs = {
+        "forms": ("docs",),
+        "tok": ("docs", "forms"),
+        "terms": ("tok",),
+        "seed_docs": ("tok", "docs"),
+        "seed_vec": ("seed_docs",),
+        "guided": ("docs", "seed_vec"),
+        "first": ("docs", "parts", "sizes"),
+        "centroids": ("first",),
+        "sims": ("first", "centroids"),
+        "moved": ("first", "sims"),
+        "tf": ("moved", "terms"),
+        "weights": ("tf", "moved"),
+        "top": ("weights",),
+        "names": ("moved", "top"),
+        "labelled": ("moved", "names"),
+    }
+    found = {f"{p}{k}": tuple(f"{p}{n}" for n in v) for k, v in needs.items()}
+    found |= {f"{p}docs": (*rows, "all_vectors"), f"{p}projected": (f"{p}guided", "signs")}
+    found[f"{p}tok"] += ("dictionary",)
+    found[f"{p}seed_docs"] += ("seeds",)
+    return found | _density_needs(p, f"{p}projected")
+
+
+def _fit_shared(p: str) -> set[str]:
+    names = "docs forms tok terms guided projected reduced near cores links parts first moved tf weights top"
+    return {f"{p}{n}" for n in names.split()}
+
+
+def _examples(p: str) -> str:
+    return f"""
+    SELECT topic, CAST(rank AS INTEGER) AS rank, review_id, left(content_clean, 100) AS excerpt, keywords
+    FROM (SELECT m.topic, m.review_id, content_clean,
+                 row_number() OVER (PARTITION BY m.topic ORDER BY m.review_id) AS rank
+          FROM {p}moved m JOIN {p}docs d ON d.review_id = m.review_id WHERE m.topic <> -1)
+    LEFT JOIN (SELECT topic, string_agg(term, ', ' ORDER BY rank) AS keywords FROM {p}top GROUP BY topic) USING (topic)
+    WHERE rank <= 3 AND topic IN (
+      SELECT DISTINCT topic FROM {p}moved WHERE topic <> -1 ORDER BY topic LIMIT 10)"""
+
+
+def _coverage(p: str, label: str) -> str:
+    return f"""
+    SELECT '{label}' AS label, count(*) FILTER (term IN (SELECT word FROM dictionary)) AS matched,
+           count(*) AS total, coalesce(round(matched / nullif(total, 0) * 100, 6), 0) AS coverage
+    FROM {p}top WHERE topic <> -1"""
+
 PARTS = {
     "reviews": """
     SELECT doc_id AS review_id, source AS brand, CAST((doc_id // 20) % 6 AS INTEGER) AS rating,
            text AS content_clean FROM documents""",
     # Reviews without a stored vector have one made from their text.
+    "positions": """
+    SELECT row_number() OVER () - 1 AS review_id, source AS brand,
+           CAST((doc_id // 20) % 6 AS INTEGER) AS rating, CAST(length(text) AS INTEGER) AS n_chars FROM documents""",
     "lacking": "SELECT * FROM reviews WHERE review_id NOT IN (SELECT vec_id FROM embeddings)",
     "lacking_words": """
     SELECT review_id, unnest(regexp_extract_all(lower(content_clean), '[\\p{L}]{2,}')) AS word FROM lacking""",
@@ -290,12 +386,7 @@ PARTS = {
     "forms": _forms("reviews"),
     "tok": _tokens("reviews"),
     "low_tok": _tokens("low_reviews", low=True),
-    "terms": """
-    SELECT review_id, ord, 0 AS part, word AS term FROM tok
-    UNION ALL
-    SELECT review_id, ord, 1, word || ' ' || following FROM (
-      SELECT *, lead(word) OVER (PARTITION BY review_id ORDER BY ord) AS following FROM tok)
-    WHERE following IS NOT NULL""",
+    "terms": _terms("tok"),
     "tf": _tf("reviews_topic"),
     "weights": _weights("tf"),
     "top": _top("weights"),
@@ -316,6 +407,85 @@ PARTS = {
     FROM range(5) x(c), range(64) y(d)""",
     "projected": _projected("embeddings", "vec_id", "embedding"),
     **_density("", "projected"),
+    # Fitted on the even ids, assigned to the odd ones.
+    "e_projected": "SELECT * FROM projected WHERE review_id % 2 = 0",
+    **_density("e_", "e_projected"),
+    "o_near": f"""
+    SELECT review_id, neighbor_id, distance,
+           row_number() OVER (PARTITION BY review_id ORDER BY distance, neighbor_id) AS rank
+    FROM (
+      SELECT a.review_id, b.review_id AS neighbor_id, sqrt({_SQUARES}) AS distance
+      FROM (SELECT * FROM reduced WHERE review_id % 2 = 1) a, e_reduced b)""",
+    "o_links": f"""
+    SELECT n.review_id, neighbor_id, distance, coalesce(topic, -1) AS topic,
+           row_number() OVER (PARTITION BY n.review_id ORDER BY distance, neighbor_id) AS k
+    FROM o_near n JOIN e_cores c ON c.review_id = neighbor_id
+    LEFT JOIN e_parts p ON p.review_id = neighbor_id LEFT JOIN e_sizes USING (part), e_eps
+    WHERE rank <= {_C["n_neighbors"]} AND core <= eps AND distance <= eps AND n.review_id IN (
+      SELECT review_id FROM o_near, e_eps WHERE rank = {_C["min_samples"]} AND distance <= eps)""",
+    # All merges of the neighbour graph, one by one.
+    "h_cores": f"SELECT review_id, distance AS core FROM near WHERE rank = {_H['min_samples']}",
+    "h_points": "SELECT review_id, row_number() OVER (ORDER BY review_id) AS p FROM reduced",
+    "h_edges": f"""
+    SELECT u.p AS pa, v.p AS pb, w, row_number() OVER (ORDER BY w, a, b) AS i,
+           min(w) FILTER (w > 0) OVER () AS least
+    FROM (
+      SELECT least(n.review_id, neighbor_id) AS a, greatest(n.review_id, neighbor_id) AS b,
+             min(greatest(x.core, y.core, distance)) AS w
+      FROM near n JOIN h_cores x ON x.review_id = n.review_id JOIN h_cores y ON y.review_id = neighbor_id
+      WHERE rank <= {_H["n_neighbors"]} GROUP BY ALL)
+    JOIN h_points u ON u.review_id = a JOIN h_points v ON v.review_id = b""",
+    "h_steps": f"""
+    SELECT 0::BIGINT AS i, list(p ORDER BY p) AS label, list(1::BIGINT) AS size, list(NULL::BIGINT) AS own,
+           list(0::DOUBLE) AS held, list(0::DOUBLE) AS below, list(NULL::BIGINT) AS place,
+           []::STRUCT(cluster BIGINT, parent BIGINT, n BIGINT, birth DOUBLE, stability DOUBLE, below DOUBLE)[] AS ended
+    FROM h_points
+    UNION ALL
+    SELECT i, list_transform(label, lambda l : CASE WHEN l = y THEN x ELSE l END),
+           list_transform(size, lambda v, j : CASE WHEN j = x THEN v + m ELSE v END),
+           list_transform(own, lambda v, j : CASE WHEN j = x THEN fresh ELSE v END),
+           list_transform(held, lambda v, j : CASE
+             WHEN j <> x OR fresh IS NULL THEN v
+             WHEN c IS NOT NULL AND d IS NULL THEN v + m * rho
+             WHEN d IS NOT NULL AND c IS NULL THEN held[y] + n * rho
+             ELSE (n + m) * rho END),
+           list_transform(below, lambda v, j : CASE
+             WHEN j <> x OR fresh IS NULL OR d IS NULL THEN v
+             WHEN c IS NULL THEN below[y]
+             ELSE greatest(held[x] - n * rho, below[x]) + greatest(held[y] - m * rho, below[y]) END),
+           list_transform(place, lambda v, j : CASE WHEN v IS NULL AND label[j] IN (x, y) THEN fresh ELSE v END),
+           CASE WHEN x <> y AND c IS NOT NULL AND d IS NOT NULL THEN [
+             {{'cluster': c, 'parent': i, 'n': n, 'birth': rho, 'stability': held[x] - n * rho, 'below': below[x]}},
+             {{'cluster': d, 'parent': i, 'n': m, 'birth': rho, 'stability': held[y] - m * rho, 'below': below[y]}}]
+           ELSE [] END
+    FROM (
+      SELECT *, CASE WHEN x = y THEN c WHEN c IS NOT NULL AND d IS NOT NULL THEN i
+                     WHEN c IS NOT NULL THEN c WHEN d IS NOT NULL THEN d
+                     WHEN n + m >= {_H["min_cluster_size"]} THEN i END AS fresh
+      FROM (
+        SELECT e.i, label, size, own, held, below, place, label[pa] AS x, label[pb] AS y, 1 / greatest(w, least) AS rho,
+               size[label[pa]] AS n, CASE WHEN label[pa] = label[pb] THEN 0 ELSE size[label[pb]] END AS m,
+               own[label[pa]] AS c, CASE WHEN label[pa] = label[pb] THEN NULL ELSE own[label[pb]] END AS d
+        FROM h_steps s JOIN h_edges e ON e.i = s.i + 1))""",
+    "h_last": "SELECT * FROM h_steps ORDER BY i DESC LIMIT 1",
+    "h_tops": """
+    SELECT DISTINCT own[x] AS cluster, NULL::BIGINT AS parent, size[x] AS n, 0::DOUBLE AS birth,
+           held[x] AS stability, below[x] AS below
+    FROM (SELECT *, unnest(label) AS x FROM h_last) WHERE own[x] IS NOT NULL""",
+    "h_clusters": """
+    SELECT *, stability >= below AND (parent IS NOT NULL OR (SELECT count(*) FROM h_tops) > 1) AS pick
+    FROM (SELECT unnest(ended, recursive := true) FROM h_steps UNION ALL SELECT * FROM h_tops)""",
+    "h_chains": """
+    SELECT cluster, parent AS up, CASE WHEN pick THEN cluster END AS chosen FROM h_clusters
+    UNION ALL
+    SELECT h.cluster, c.parent, CASE WHEN c.pick THEN c.cluster ELSE chosen END
+    FROM h_chains h JOIN h_clusters c ON c.cluster = h.up""",
+    "h_groups": """
+    SELECT review_id, chosen FROM (SELECT unnest(place) AS cluster, generate_subscripts(place, 1) AS p FROM h_last)
+    JOIN h_points USING (p) LEFT JOIN (SELECT * FROM h_chains WHERE up IS NULL) USING (cluster)""",
+    "h_sizes": """
+    SELECT chosen, row_number() OVER (ORDER BY count(*) DESC, min(review_id)) - 1 AS topic
+    FROM h_groups WHERE chosen IS NOT NULL GROUP BY chosen""",
     "seed_docs": """
     SELECT DISTINCT seed_id, review_id, embedding FROM seeds JOIN tok USING (word)
     JOIN reviews_topic USING (review_id)""",
@@ -352,6 +522,12 @@ PARTS = {
     FROM f_moved LEFT JOIN f_names USING (topic)""",
     "f_counts": _counts("f_labelled"),
     "f_shares": _shares("f_counts"),
+    # Both analyses from their rows on.
+    **_fit("fa_", f"""
+      SELECT * EXCLUDE (k) FROM (
+        SELECT *, row_number() OVER (PARTITION BY brand ORDER BY md5('42:' || review_id), review_id) AS k
+        FROM reviews WHERE rating > 0 AND brand IS NOT NULL) WHERE k <= {reg.SAMPLE_CAP}""", False, 0.4),
+    **_fit("fl_", f"""SELECT * FROM low_reviews WHERE {_cleaned("content_clean")} <> ''""", True, 0.3),
 }
 
 NEEDS = {
@@ -379,6 +555,20 @@ NEEDS = {
     "shares": ("counts",),
     "projected": ("signs",),
     **_density_needs("", "projected"),
+    "e_projected": ("projected",),
+    **_density_needs("e_", "e_projected"),
+    "h_cores": ("near",),
+    "h_points": ("reduced",),
+    "h_edges": ("near", "h_cores", "h_points"),
+    "h_steps": ("h_points", "h_edges"),
+    "h_last": ("h_steps",),
+    "h_tops": ("h_last",),
+    "h_clusters": ("h_steps", "h_tops"),
+    "h_chains": ("h_clusters",),
+    "h_groups": ("h_last", "h_points", "h_chains"),
+    "h_sizes": ("h_groups",),
+    "o_near": ("reduced", "e_reduced"),
+    "o_links": ("o_near", "e_cores", "e_parts", "e_sizes", "e_eps"),
     "seed_docs": ("seeds", "tok", "reviews_topic"),
     "seed_vec": ("seed_docs",),
     "f_docs": ("reviews", "all_vectors"),
@@ -398,12 +588,18 @@ NEEDS = {
     "f_labelled": ("f_moved", "f_names"),
     "f_counts": ("f_labelled",),
     "f_shares": ("f_counts",),
+    **_fit_needs("fa_", "reviews"),
+    **_fit_needs("fl_", "low_reviews"),
 }
 # Parts that several others read are worked out once.
 SHARED = {
     *("tok", "terms", "forms", "tf", "weights", "projected", "reduced", "near", "cores", "links"),
     *("f_guided", "f_projected", "f_reduced", "f_near", "f_cores", "f_links", "f_parts", "f_first"),
-    *("f_moved", "f_tf", "f_weights"),
+    *("f_moved", "f_tf", "f_weights", "all_vectors", "reviews"),
+    *_fit_shared("fa_"),
+    *_fit_shared("fl_"),
+    *("h_edges", "h_steps", "h_last", "h_clusters", "h_groups"),
+    *("e_reduced", "e_near", "e_cores", "e_links", "e_parts", "o_near"),
 }
 
 
@@ -590,6 +786,38 @@ def oracle_queries() -> dict[str, str]:
             FROM embeddings LEFT JOIN parts ON vec_id = review_id LEFT JOIN sizes USING (part)""",
             "sizes",
         ),
+        "hierarchy_topics": _with(
+            """SELECT review_id, CAST(coalesce(topic, -1) AS INTEGER) AS topic
+            FROM h_groups LEFT JOIN h_sizes USING (chosen)""",
+            "h_sizes",
+        ),
+        "hierarchy_clusters": _with(
+            """SELECT n, round(birth, 4) AS birth, round(stability, 4) AS stability, coalesce(chosen = cluster, false) AS selected
+            FROM h_clusters JOIN (SELECT cluster, chosen FROM h_chains WHERE up IS NULL) USING (cluster)""",
+            "h_chains",
+        ),
+        "assign_new_reviews": _with(
+            """SELECT review_id, CAST(coalesce(l.topic, -1) AS INTEGER) AS topic, neighbor_id AS nearest_id,
+              round(l.distance, 6) AS distance
+            FROM (SELECT review_id FROM reduced WHERE review_id % 2 = 1)
+            LEFT JOIN (SELECT * FROM o_links WHERE k = 1) l USING (review_id)""",
+            "reduced",
+            "o_links",
+        ),
+        "knn_new_reviews": _with(
+            f"""SELECT review_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(distance, 6) AS distance
+            FROM o_near WHERE rank <= {reg.NEAR}""",
+            "o_near",
+        ),
+        "distance_quantiles": _with(
+            f"""SELECT q, (
+              SELECT min(distance) FROM (
+                SELECT distance, count(*) OVER (ORDER BY distance RANGE UNBOUNDED PRECEDING) AS upto
+                FROM near WHERE rank <= {reg.NEAR})
+              WHERE upto >= q * (SELECT count(*) FROM near WHERE rank <= {reg.NEAR})) AS distance
+            FROM (SELECT unnest([{", ".join(map(str, reg.QUANTILES))}]::DOUBLE[]) AS q)""",
+            "near",
+        ),
         "hash_embed": _with(
             f"""SELECT review_id, CAST(len(embedding) AS INTEGER) AS dims,
               CAST(len(list_filter(embedding, lambda x: x <> 0)) AS INTEGER) AS nonzero,
@@ -602,6 +830,21 @@ def oracle_queries() -> dict[str, str]:
             "SELECT topic, count(*) AS n, any_value(topic_name) AS topic_name FROM f_labelled GROUP BY topic",
             "f_labelled",
         ),
+        **{
+            f"fit_topics_{scope}": _with(
+                f"SELECT topic, count(*) AS n, any_value(topic_name) AS topic_name FROM {p}labelled GROUP BY topic",
+                f"{p}labelled",
+            )
+            for scope, p in (("all", "fa_"), ("low", "fl_"))
+        },
+        "coverage_by_scope": _with(
+            f"{_coverage('fa_', 'all')} UNION ALL {_coverage('fl_', 'low')}", "dictionary", "fa_top", "fl_top"
+        ),
+        "examples_by_scope": _with(
+            f"SELECT 'all' AS scope, * FROM ({_examples('fa_')}) UNION ALL SELECT 'low', * FROM ({_examples('fl_')})",
+            "fa_top",
+            "fl_top",
+        ),
         "fitted_brand_topics": _with(_top_five("f_shares"), "f_shares"),
         "embedding_cache_misses": _with(
             """SELECT DISTINCT sha256(content_clean) AS text_hash, CAST(length(content_clean) AS INTEGER) AS n_chars
@@ -609,6 +852,48 @@ def oracle_queries() -> dict[str, str]:
               SELECT sha256(content_clean) FROM reviews JOIN embeddings ON review_id = vec_id)""",
             "reviews",
         ),
+        **{
+            name: _with(body, "positions")
+            for name, body in {
+                "reviews_by_position": "SELECT * FROM positions",
+                "renumbered_low_reviews": f"""SELECT * EXCLUDE (review_id), review_id AS position,
+                  row_number() OVER (ORDER BY review_id) - 1 AS review_id FROM positions WHERE {_LOW}""",
+                "brands_first_position": """SELECT brand, min(review_id) AS first_id FROM positions
+                  WHERE rating > 0 GROUP BY brand""",
+            }.items()
+        },
+        "run_report": _with(
+            f"""SELECT CAST(step AS INTEGER) AS step, stage, figure, CAST(value AS DOUBLE) AS value FROM (
+              SELECT 0 AS step, 'rated' AS stage, 'rows' AS figure, count(*) AS value FROM reviews WHERE rating > 0
+              UNION ALL SELECT 0, 'rated', 'text_bytes', sum(strlen(content_clean)) FROM reviews WHERE rating > 0
+              UNION ALL SELECT 1, 'sample', 'rows', sum(least(n, {reg.SAMPLE_CAP})) FROM (
+                SELECT count(*) AS n FROM reviews WHERE rating > 0 AND brand IS NOT NULL GROUP BY brand)
+              UNION ALL SELECT 2, 'low', 'rows', count(*) FROM low_reviews
+              UNION ALL SELECT 2, 'low', 'blank', count(*) FROM low_reviews WHERE {_cleaned("content_clean")} = ''
+              UNION ALL SELECT 3, 'low valid', 'rows', count(*) FROM low_reviews WHERE {_cleaned("content_clean")} <> ''
+              UNION ALL SELECT 4, 'topics', 'rows', count(*) FROM reviews_topic
+              UNION ALL SELECT 4, 'topics', 'outliers', count(*) FROM reviews_topic WHERE topic = -1
+              UNION ALL SELECT 4, 'topics', 'last_topic', max(topic) FROM reviews_topic
+              UNION ALL SELECT 5, 'after reassignment', 'rows', count(*) FROM moved
+              UNION ALL SELECT 5, 'after reassignment', 'outliers', count(*) FROM moved WHERE topic = -1
+              UNION ALL SELECT 5, 'after reassignment', 'moved', count(*) FROM moved WHERE topic <> old_topic)""",
+            "low_reviews",
+            "reviews_topic",
+            "moved",
+        ),
+        "embedding_cache_fill": _with(
+            """SELECT review_id, CASE WHEN content_clean IN (
+                SELECT content_clean FROM reviews WHERE review_id % 2 = 0) THEN 'a' ELSE 'b' END AS batch,
+              CAST(length(content_clean) AS FLOAT) AS v0,
+              CAST(length(content_clean) - length(replace(content_clean, 'e', '')) AS FLOAT) AS v1,
+              (SELECT count(DISTINCT content_clean) FROM reviews) AS n_stored FROM reviews""",
+            "reviews",
+        ),
+        "model_round_trip": _with(
+            "SELECT topic, rank, term, round(weight, 6) AS weight, topic_name FROM top LEFT JOIN names USING (topic)",
+            "top",
+            "names",
+        ),
         "export_csv": _with(
             "SELECT review_id, brand, rating, content_clean, topic FROM reviews_topic", "reviews_topic"
         ),

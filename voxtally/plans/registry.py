@@ -2,34 +2,48 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtally.functions.text import clean_text, letter_runs, ngrams, normalize, tokenize
-from voxtally.operators import keywords, report
+from voxtally.functions.text import clean_text, is_blank, letter_runs, ngrams, normalize, tokenize
+from voxtally.operators import assign, block_index, keywords, report
 from voxtally.operators.clusters import density_topics as cluster_by_density
 from voxtally.operators.clusters import kmeans_topics as cluster_by_centre
 from voxtally.operators.dictionary import dictionary_matches as find_words
-from voxtally.operators.dictionary import dictionary_matches_join, keyword_coverage
+from voxtally.operators.dictionary import dictionary_matches_table as find_table_words
+from voxtally.operators.dictionary import keyword_coverage
 from voxtally.operators.embed import hash_embed as embed_by_hash
+from voxtally.operators.hierarchy import density_hierarchy
+from voxtally.operators.quantile import exact_quantile
+from voxtally.operators.run_report import RunReport
 from voxtally.operators import ingest
 from voxtally.operators import membership as soft
 from voxtally.operators import neighbors
 from voxtally.operators import reduce as reducing
 from voxtally.operators import seeds as seeding
-from voxtally.plans.topics import TopicModel, TopicParams, compare_brands
+from voxtally.operators import spectral
+from voxtally.plans.estimators import DensityTopics, HashedVectors, ReviewTokenizer
+from voxtally.plans.topics import LOW_RATED, TopicModel, TopicParams, compare_brands, prepare
 from voxtally.plans.topics import fit_topics as fit
-from voxtally.plans.views import LEXICON, reviews, reviews_topic, vectors, with_vectors
+from voxtally.plans.views import DIMS, LEXICON, SCHEMAS, reviews, reviews_topic, vectors, with_vectors
 from voxtally.session import materialize, new_folder
 from voxtally.sources.lexicons import NOISE_LABEL
+from voxtally.sources.model_store import load_version, save_version
 from voxtally.sources.reviews import read_csv, stack_scopes, write_csv
+from voxtally.sources.row_ids import read_with_row_ids, renumber
 from voxtally.sources.vector_cache import cache_misses, text_key
+from voxtally.sources.vector_table import fill_batch, open_vector_table, with_cached_vectors
 
 SAMPLE_CAP = 25
 MIN_DF = 2
 TRIGGER = 0.05  # the tables have about a tenth of outliers
 NEAR = 5
 CORE_SAMPLES = 5
+QUANTILES = (0.0, 0.001, 0.05, 0.5, 0.9, 0.999, 1.0)
+HIERARCHY = {"min_cluster_size": 8, "min_samples": 3, "n_neighbors": 5}
 CLUSTER = {"min_cluster_size": 5, "min_samples": 2, "n_neighbors": 2, "eps_quantile": 0.45}
 
 
@@ -77,6 +91,46 @@ def dataset_summary(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.dataset_summary(reviews(spark, folder), cap=SAMPLE_CAP)
 
 
+def _by_position(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as a table without a key, numbered by their place in its files."""
+    table = f"{folder}/documents.parquet"
+    columns = F.expr("cast((doc_id div 20) % 6 AS int)").alias("rating")
+    return read_with_row_ids(spark, table, schema=SCHEMAS["documents"]).select(
+        "review_id", F.col("source").alias("brand"), columns, F.length("text").alias("n_chars")
+    )
+
+
+def reviews_by_position(spark: SparkSession, folder: str) -> DataFrame:
+    return _by_position(spark, folder)
+
+
+def renumbered_low_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    low = ingest.low_rated(_by_position(spark, folder))
+    return renumber(low.withColumn("position", F.col("review_id")), "position")
+
+
+def brands_first_position(spark: SparkSession, folder: str) -> DataFrame:
+    return ingest.groups_first_seen(ingest.rated(_by_position(spark, folder)))
+
+
+def run_report(spark: SparkSession, folder: str) -> DataFrame:
+    report = RunReport()
+    narrow = reviews(spark, folder)
+    rows = report.written(ingest.rated(narrow), "rated", text_bytes=F.sum(F.octet_length("content_clean")))
+    sample = ingest.sample_per_group(rows.select("review_id", "brand", "rating"), cap=SAMPLE_CAP)
+    report.written(sample, "sample")
+    cleaned = ingest.low_rated(rows).withColumn("content_clean", clean_text("content_clean", LEXICON.clean_patterns))
+    blank = F.count_if(is_blank("content_clean"))
+    low = report.written(cleaned, "low", blank=blank)
+    report.written(ingest.with_text(low).select("review_id"), "low valid")
+    topics = reviews_topic(spark, folder, embed=True).select("review_id", "topic", "embedding")
+    outliers = F.count_if(F.col("topic") == -1)
+    first = report.written(topics, "topics", outliers=outliers, last_topic=F.max("topic"))
+    moved = soft.reassign_outliers(first, TRIGGER).select("review_id", "old_topic", "topic")
+    report.written(moved, "after reassignment", outliers=outliers, moved=F.count_if(F.col("topic") != F.col("old_topic")))
+    return report.table(spark)
+
+
 # --- tokens -------------------------------------------------------------------------------------
 
 
@@ -90,7 +144,7 @@ def dictionary_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 def dictionary_matches_table(spark: SparkSession, folder: str) -> DataFrame:
     words = spark.createDataFrame([(w,) for w in LEXICON.user_dict], "word string")
-    return dictionary_matches_join(reviews(spark, folder), words)
+    return find_table_words(reviews(spark, folder), words)
 
 
 def normalize_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -271,6 +325,45 @@ def kmeans_topics(spark: SparkSession, folder: str) -> DataFrame:
     return cluster_by_centre(_reduced(spark, folder), k=10)
 
 
+def hierarchy_topics(spark: SparkSession, folder: str) -> DataFrame:
+    return density_hierarchy(_reduced(spark, folder), **HIERARCHY).topics
+
+
+def hierarchy_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    clusters = density_hierarchy(_reduced(spark, folder), **HIERARCHY).clusters
+    return clusters.select("n", *[F.round(c, 4).alias(c) for c in ("birth", "stability")], "selected")
+
+
+def _halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The rows a model is fitted on, and those that come later."""
+    rows = _reduced(spark, folder)
+    return rows.where("review_id % 2 = 0"), rows.where("review_id % 2 = 1")
+
+
+def knn_new_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    old, new = _halves(spark, folder)
+    path = new_folder(spark, "block-index")
+    block_index.save_index(block_index.build_index(old, "review_id", "reduced", NEAR), path)
+    near = block_index.knn_join(new, block_index.load_index(spark, path), "review_id", "reduced", NEAR)
+    return near.withColumn("distance", F.round("distance", 6))
+
+
+def assign_new_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    old, new = _halves(spark, folder)
+    fitted = {k: CLUSTER[k] for k in ("min_samples", "n_neighbors", "eps_quantile")}
+    path = new_folder(spark, "fitted-space")
+    assign.save_space(assign.fitted_space(old, cluster_by_density(old, **CLUSTER), **fitted), path)
+    found = assign.assign_topics(new, assign.load_space(spark, path))
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+def distance_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    near = neighbors.knn(_reduced(spark, folder), "review_id", "reduced", NEAR)
+    near = materialize(near.select("distance"), "distances")
+    found = [(q, exact_quantile(near, "distance", q)) for q in QUANTILES]
+    return spark.createDataFrame(found, "q double, distance double")
+
+
 def topic_membership(spark: SparkSession, folder: str) -> DataFrame:
     docs = reviews_topic(spark, folder, embed=True).select("review_id", "topic", "embedding")
     centroids = materialize(soft.topic_centroids(docs), "centroids")
@@ -325,6 +418,36 @@ def fitted_brand_topics(spark: SparkSession, folder: str) -> DataFrame:
     return compare_brands(_fitted(spark, folder))
 
 
+def _analysis(spark: SparkSession, folder: str, low: bool) -> TopicModel:
+    """An analysis from the review table on: its rows, cleaned, with vectors, fitted."""
+    params = TopicParams(**CLUSTER, min_df=1, tf_mode="count", reducer=reducing.reduce_random, sample_cap=SAMPLE_CAP)
+    if low:
+        params = replace(params, low=True, sample_cap=None, drop_empty=True, outlier_threshold=LOW_RATED.outlier_threshold)
+    docs = prepare(reviews(spark, folder), LEXICON, params)
+    return fit(with_vectors(spark, folder, docs), LEXICON, params)
+
+
+def fit_topics_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _analysis(spark, folder, low=False).topic_info
+
+
+def fit_topics_low(spark: SparkSession, folder: str) -> DataFrame:
+    return _analysis(spark, folder, low=True).topic_info
+
+
+def coverage_by_scope(spark: SparkSession, folder: str) -> DataFrame:
+    found = [
+        keyword_coverage(_analysis(spark, folder, low).topic_terms, LEXICON, label)
+        for label, low in (("all", False), ("low", True))
+    ]
+    return found[0].unionByName(found[1]).withColumn("coverage", F.round("coverage", 6))
+
+
+def examples_by_scope(spark: SparkSession, folder: str) -> DataFrame:
+    models = {label: _analysis(spark, folder, low) for label, low in (("all", False), ("low", True))}
+    return stack_scopes({k: report.topic_examples(m.assignments, m.topic_terms) for k, m in models.items()})
+
+
 # --- sinks --------------------------------------------------------------------------------------
 
 
@@ -338,6 +461,50 @@ def embedding_cache_misses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _letter_counts():
+    """A stand-in for an embedding model: the length of a text and its letters e."""
+    return lambda texts: [[float(len(t)), float(t.count("e"))] for t in texts]
+
+
+def embedding_cache_fill(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_folder(spark, "vector-table")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    docs = reviews(spark, folder)
+    open_vector_table(spark, name, path, buckets=8)
+    fill_batch(docs.where("review_id % 2 = 0"), name, "letters", "a", _letter_counts)
+    for _ in range(2):  # the second time changes nothing
+        fill_batch(docs, name, "letters", "b", _letter_counts)
+    found = with_cached_vectors(docs, name, "letters")
+    stored = F.broadcast(spark.table(name).agg(F.count("*").alias("n_stored")))
+    values = [F.get("embedding", F.lit(i)).alias(f"v{i}") for i in range(2)]
+    return found.select("review_id", "batch", *values).crossJoin(stored)  # one row, one number
+
+
+def reduce_spectral(spark: SparkSession, folder: str) -> DataFrame:
+    reduced = spectral.reduce_spectral(_reduced(spark, folder), vector="reduced", n_neighbors=NEAR, components=3, rounds=4)
+    return reduced.select("review_id", *[F.round(F.abs(F.get("reduced", F.lit(c))), 2).alias(f"c{c}") for c in range(3)])
+
+
+def pipeline_topics(spark: SparkSession, folder: str) -> DataFrame:
+    docs = reviews(spark, folder).select("review_id", "content_clean")
+    topics = DensityTopics(minClusterSize=5, minSamples=2, neighbors=2, epsQuantile=0.45)
+    stages = [ReviewTokenizer.of(LEXICON), HashedVectors(features=DIMS), topics]
+    path = new_folder(spark, "pipeline")
+    Pipeline(stages=stages).fit(docs.where("review_id % 2 = 0")).save(path)
+    return PipelineModel.load(path).transform(docs.where("review_id % 2 = 1")).select("review_id", "topic")
+
+
+def model_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_folder(spark, "model-store")
+    save_version(spark, path, {"topic_terms": _terms(spark, folder).where("rank = 1")}, "an older version")
+    tables = {"topic_terms": _terms(spark, folder), "topic_names": _names(spark, folder)}
+    save_version(spark, path, tables, "the last one")
+    # A version whose writer stopped before its manifest is not read.
+    tables["topic_terms"].limit(0).write.parquet(f"{path}/versions/unfinished/topic_terms")
+    model = load_version(spark, path)
+    return _rounded(model["topic_terms"].join(model["topic_names"], "topic", "left"))
+
+
 def export_csv(spark: SparkSession, folder: str) -> DataFrame:
     docs = reviews_topic(spark, folder).select("review_id", "brand", "rating", "content_clean", "topic")
     path = new_folder(spark, "csv")
@@ -390,9 +557,26 @@ QUERIES = {
         reduce_random_projection,
         density_topics,
         kmeans_topics,
+        hierarchy_topics,
+        hierarchy_clusters,
+        knn_new_reviews,
+        assign_new_reviews,
+        distance_quantiles,
         fit_topics,
         fitted_brand_topics,
+        fit_topics_all,
+        fit_topics_low,
+        coverage_by_scope,
+        examples_by_scope,
         embedding_cache_misses,
         export_csv,
+        reviews_by_position,
+        renumbered_low_reviews,
+        brands_first_position,
+        run_report,
+        embedding_cache_fill,
+        reduce_spectral,
+        pipeline_topics,
+        model_round_trip,
     )
 }

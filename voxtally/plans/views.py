@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from voxtally.functions.text import letter_runs, text_of
 from voxtally.operators.embed import hash_embed
+from voxtally.session import materialize
 from voxtally.sources.lexicons import BOILERPLATE, Lexicon
 
+SPREAD_BYTES = 256 << 20
 DIMS = 64  # of the stored vectors, and so of those made from texts
 
 SCHEMAS = {
@@ -30,9 +32,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def spread_small(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """``df`` dealt out over all cores if it comes from fewer files than there are cores, and small
+    ones: such a table may be a single row group, which one task reads. Only the files are listed."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place)
+    cores = spark.sparkContext.defaultParallelism
+    if found.getFileCount() < cores and found.getLength() < SPREAD_BYTES:
+        return df.repartition(cores)
+    return df
+
+
 def reviews(spark: SparkSession, folder: str) -> DataFrame:
     """``(review_id, brand, rating, content_clean)`` out of the documents."""
-    return table(spark, folder, "documents").select(
+    docs = spread_small(spark, table(spark, folder, "documents"), f"{folder}/documents.parquet")
+    return docs.select(
         F.col("doc_id").alias("review_id"),
         F.col("source").alias("brand"),
         F.expr("cast((doc_id div 20) % 6 AS int)").alias("rating"),
@@ -52,7 +66,9 @@ def with_vectors(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame
     made = hash_embed(
         lacking.select("review_id", letter_runs(text_of("content_clean")).alias("tokens")), features=DIMS
     )
-    return docs.join(stored.unionByName(made.select("review_id", "embedding")), "review_id")
+    # Written once, as callers read the vectors several times.
+    every = materialize(stored.unionByName(made.select("review_id", "embedding")), "vectors")
+    return docs.join(every, "review_id")
 
 
 def reviews_topic(spark: SparkSession, folder: str, embed: bool = False) -> DataFrame:
