@@ -83,13 +83,14 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
 
 
 def split_problems(edges: DataFrame, group_edges: int) -> list[DataFrame]:
-    """The numbered edges ``(a, b, o, w)`` of a forest as problems ``(a, b, o, w)``, one table per
-    depth. A problem's vertices are points, or the last edge ``o`` of problems of greater depth.
-    """
+    """The numbered edges ``(a, b, o, w)`` of a forest as problems ``(g, a, b, o, w)``, in the order in
+    which they are to be solved: one table per turn, of problems that do not depend on each other. A
+    problem's vertices are points, or the last edge ``o`` of problems of earlier turns. A light half
+    has its turn before the heavy half it was split from."""
     joined = contract(edges)[0]
     tree = edges.join(joined.select(F.col("node").alias("a"), "component"), "a")
     tops = tree.groupBy("component").agg(F.max("o").alias("g"))
-    left = materialize(tree.join(tops, "component").select("g", "a", "b", "o", "w", F.lit(0).alias("depth")), "problems")
+    left = materialize(tree.join(tops, "component").select("g", "a", "b", "o", "w", F.lit("").alias("turn")), "problems")
     done = []
     while True:
         sizes = left.groupBy("g").agg(F.count("*").alias("n"), F.percentile_approx("o", 0.5).alias("middle"))
@@ -98,7 +99,6 @@ def split_problems(edges: DataFrame, group_edges: int) -> list[DataFrame]:
         done.append(materialize(small, "small"))
         if large.isEmpty():
             break
-        round_ = len(done)
         halves = lookup_join(left, large.select("g", "middle"), ["g"], by=["o"])
         light = materialize(halves.where("o <= middle").drop("middle"), "light")
         named = materialize(contract(light)[0], "light-parts")
@@ -110,19 +110,22 @@ def split_problems(edges: DataFrame, group_edges: int) -> list[DataFrame]:
         # Vertices are in one problem only, so a vertex has one light component at most.
         names = materialize(named.join(tops, "component").select("node", "top"), "names")
         inner = light.join(names.select(F.col("node").alias("a"), "top"), "a").select(
-            F.col("top").alias("g"), "a", "b", "o", "w", F.lit(round_).alias("depth")
+            F.col("top").alias("g"), "a", "b", "o", "w", F.concat("turn", F.lit("0")).alias("turn")
         )
         outer = halves.where("o > middle").drop("middle")
         for end in ("a", "b"):
             outer = outer.join(names.select(F.col("node").alias(end), F.col("top").alias(f"_{end}")), end, "left")
         outer = outer.select(
-            "g", F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), "o", "w", "depth"
+            "g", F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), "o", "w",
+            F.concat("turn", F.lit("1")).alias("turn"),
         )
         left = materialize(inner.unionByName(outer), "problems")
     every = done[0]
     for part in done[1:]:
         every = every.unionByName(part)
-    return [every.where(F.col("depth") == d) for d in range(len(done))]
+    # No more turns than there are edges for so many tasks.
+    turns = sorted(r.turn for r in every.select("turn").distinct().collect())
+    return [every.where(F.col("turn") == t) for t in turns]
 
 
 def _play(min_size: int, floor: float):
@@ -183,9 +186,9 @@ def _play(min_size: int, floor: float):
 
 
 def _solve(problems: list[DataFrame], points: DataFrame, min_size: int, floor: float, group_edges: int) -> DataFrame:
-    """All that :func:`_play` gives, deepest problems first."""
+    """All that :func:`_play` gives, turn by turn."""
     states, solved = points, []
-    for edges in reversed(problems):
+    for edges in problems:
         edges = materialize(edges, "edges")
         n = edges.count()
         if not n:
@@ -316,11 +319,13 @@ def density_hierarchy(
         solved.where("kind = 'vertex'").select(F.col("vertex").alias("at"), F.col("cluster").alias("found"), F.col("up")),
         "moves",
     )
-    for _ in problems:
+    place, more = materialize(place, "places"), bool(problems)
+    while more:
         place = place.join(moves, "at", "left").select(
-            "vertex", F.coalesce("up", "at").alias("at"), F.coalesce("cluster", "found").alias("cluster")
+            "vertex", F.col("up").alias("at"), F.coalesce("cluster", "found").alias("cluster")
         )
-    place = materialize(place, "places")
+        place = materialize(place, "places")
+        more = not place.where("at IS NOT NULL AND cluster IS NULL").isEmpty()
     groups = (
         place.join(chosen, "cluster", "left")
         .join(points.select("vertex", "vid"), "vertex")
