@@ -522,7 +522,8 @@ PARTS = {
     FROM f_moved LEFT JOIN f_names USING (topic)""",
     "f_counts": _counts("f_labelled"),
     "f_shares": _shares("f_counts"),
-    # Both analyses from their rows on.
+    # Both analyses from their rows on, that of all reviews from a sample and from all of them.
+    **_fit("fw_", "SELECT * FROM reviews WHERE rating > 0", False, 0.4),
     **_fit("fa_", f"""
       SELECT * EXCLUDE (k) FROM (
         SELECT *, row_number() OVER (PARTITION BY brand ORDER BY md5('42:' || review_id), review_id) AS k
@@ -589,6 +590,7 @@ NEEDS = {
     "f_counts": ("f_labelled",),
     "f_shares": ("f_counts",),
     **_fit_needs("fa_", "reviews"),
+    **_fit_needs("fw_", "reviews"),
     **_fit_needs("fl_", "low_reviews"),
 }
 # Parts that several others read are worked out once.
@@ -597,6 +599,7 @@ SHARED = {
     *("f_guided", "f_projected", "f_reduced", "f_near", "f_cores", "f_links", "f_parts", "f_first"),
     *("f_moved", "f_tf", "f_weights", "all_vectors", "reviews"),
     *_fit_shared("fa_"),
+    *_fit_shared("fw_"),
     *_fit_shared("fl_"),
     *("h_edges", "h_steps", "h_last", "h_clusters", "h_groups"),
     *("e_reduced", "e_near", "e_cores", "e_links", "e_parts", "o_near"),
@@ -838,11 +841,11 @@ def oracle_queries() -> dict[str, str]:
             for scope, p in (("all", "fa_"), ("low", "fl_"))
         },
         "coverage_by_scope": _with(
-            f"{_coverage('fa_', 'all')} UNION ALL {_coverage('fl_', 'low')}", "dictionary", "fa_top", "fl_top"
+            f"{_coverage('fw_', 'all')} UNION ALL {_coverage('fl_', 'low')}", "dictionary", "fw_top", "fl_top"
         ),
         "examples_by_scope": _with(
-            f"SELECT 'all' AS scope, * FROM ({_examples('fa_')}) UNION ALL SELECT 'low', * FROM ({_examples('fl_')})",
-            "fa_top",
+            f"SELECT 'all' AS scope, * FROM ({_examples('fw_')}) UNION ALL SELECT 'low', * FROM ({_examples('fl_')})",
+            "fw_top",
             "fl_top",
         ),
         "fitted_brand_topics": _with(_top_five("f_shares"), "f_shares"),
